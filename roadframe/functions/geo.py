@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadframe.model import EARTH_RADIUS_M
 
@@ -132,21 +136,28 @@ def parse_wkt_line(text: Column) -> Column:
     return F.when(body != "", pts)
 
 
-def interpolate(points: Column, dist: float) -> Column:
-    """Evenly spaced points along a line, about ``dist`` apart (planar), both ends included."""
-    length = line_length(points, "euclid")
-    n = F.greatest(F.bround(length / dist, 0).cast("int"), F.lit(1))
-    sums = F.aggregate(points, F.struct(F.lit(None).cast("struct<x:double,y:double>").alias("p"), F.array().cast("array<double>").alias("s")),
-                       lambda a, p: F.struct(p.alias("p"), F.concat(a["s"], F.array(F.when(a["p"].isNull(), 0.0).otherwise(
-                           F.element_at(a["s"], -1) + euclidean(a["p"]["y"], a["p"]["x"], p["y"], p["x"])))).alias("s")),
-                       lambda a: a["s"])
-
-    def at(k: Column) -> Column:
-        target = F.element_at(sums, -1) * k / n
-        i = F.greatest(F.least(F.size(F.filter(sums, lambda s: s <= target)), F.size(points) - 1), F.lit(1))
-        p, q = F.element_at(points, i), F.element_at(points, i + 1)
-        a, b = F.element_at(sums, i), F.element_at(sums, i + 1)
-        f = F.coalesce(F.try_divide(target - a, b - a), F.lit(0.0))
-        return F.struct((p["x"] + f * (q["x"] - p["x"])).alias("x"), (p["y"] + f * (q["y"] - p["y"])).alias("y"))
-
-    return F.when(F.size(points) >= 2, F.transform(F.sequence(F.lit(0), n), at))
+def interpolate_lines(lines: DataFrame, dist: float, keep: list[str], geometry: str = "geometry") -> DataFrame:
+    """``keep`` columns plus ``points``: evenly spaced points along each line, about ``dist`` apart (planar), both ends included.
+
+    The number of steps is the length over ``dist``, rounded half to even, at least
+    one; null for lines with fewer than two points. A numpy kernel: running lengths
+    and places along them are two folds and a search per point as array expressions.
+    """
+    schema = T.StructType([*(lines.schema[c] for c in keep), T.StructField("points", T.ArrayType(T.StructType(
+        [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))])
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+    def one(line: list | None) -> list | None:
+        if not line or len(line) < 2:
+            return None
+        xy = np.array([(p["x"], p["y"]) for p in line], float)
+        sums = np.concatenate(([0.0], np.cumsum(np.hypot(*np.diff(xy, axis=0).T))))
+        at = np.linspace(0.0, sums[-1], max(round(sums[-1] / dist), 1) + 1)
+        return [{"x": a, "y": b} for a, b in zip(np.interp(at, sums, xy[:, 0]).tolist(), np.interp(at, sums, xy[:, 1]).tolist())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = [one(v.as_py()) for v in batch.column(geometry)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(points, kind)], names=[*keep, "points"])
+
+    return lines.select(*dict.fromkeys([*keep, geometry])).mapInArrow(run, schema)

@@ -73,7 +73,7 @@ def nearest_nodes(nodes: DataFrame, points: DataFrame, projected: bool = False,
 def nearest_edges(edges: DataFrame, points: DataFrame, cell: float = 0.002) -> DataFrame:
     """``(point_id, u, v, key, dist)``: planar distance to the edge's ``geometry`` in coordinate units, whatever they are.
 
-    Every segment is listed in the cells its box touches; equal distances: the smallest (u, v, key).
+    Every segment is listed in the cells its box touches, on a grid as coarse as it is long; equal distances: the smallest (u, v, key).
     """
     legs = F.zip_with(F.slice("geometry", 1, F.size("geometry") - 1), F.slice("geometry", 2, F.size("geometry") - 1),
                       lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
@@ -88,11 +88,17 @@ def nearest_edges(edges: DataFrame, points: DataFrame, cell: float = 0.002) -> D
     done = []
     empty = segments.isEmpty()
     while not empty and not open_.isEmpty():
-        span = lambda a, b, size=cell: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
-        keyed = segments.withColumn("i", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("j", F.explode(span(F.col("ay"), F.col("by"))))
-        near = lambda q, size=cell: F.sequence(F.floor(q / size) - 1, F.floor(q / size) + 1)
-        probes = open_.withColumn("i", F.explode(near(F.col("qx")))).withColumn("j", F.explode(near(F.col("qy"))))
-        best = probes.join(keyed, ["i", "j"]).groupBy("point_id").agg(F.min(F.struct(dist.alias("dist"), "u", "v", "key")).alias("b"))
+        # a segment is listed on the level whose cells are at least as long as it is: in four cells at most
+        extent = F.greatest(F.abs(dx), F.abs(dy))
+        level = F.when(extent > cell, F.ceil(F.log(4.0, extent / cell))).otherwise(0).cast("int")
+        sized = segments.withColumn("level", level).withColumn("size", F.pow(F.lit(4.0), "level") * cell)
+        span = lambda a, b: F.sequence(F.floor(F.least(a, b) / F.col("size")), F.floor(F.greatest(a, b) / F.col("size")))
+        keyed = sized.withColumn("i", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("j", F.explode(span(F.col("ay"), F.col("by"))))
+        levels = [r["level"] for r in sized.select("level").distinct().collect()]  # levels of powers of four: a dozen at most
+        near = lambda q: F.sequence(F.floor(q / F.col("size")) - 1, F.floor(q / F.col("size")) + 1)
+        probes = open_.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("size", F.pow(F.lit(4.0), "level") * cell).drop("level")
+        probes = probes.withColumn("i", F.explode(near(F.col("qx")))).withColumn("j", F.explode(near(F.col("qy"))))
+        best = probes.join(keyed, ["size", "i", "j"]).groupBy("point_id").agg(F.min(F.struct(dist.alias("dist"), "u", "v", "key")).alias("b"))
         found = materialize(open_.join(best, "point_id", "left").select(*open_.columns, "b.dist", "b.u", "b.v", "b.key"), "found")
         settled = F.coalesce(F.col("dist") <= cell, F.lit(False))
         done.append(found.where(settled).select("point_id", "u", "v", "key", "dist"))

@@ -20,23 +20,37 @@ MAX_INDEX_EDGES = 20_000_000
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(osmid, component)``: the smallest id of each node's weakly connected component.
 
-    Labels fall to the smallest neighbour label, then jump to the label's own label,
-    until a round changes nothing; each round is written to the shared folder.
+    By contraction: every node hooks to its smallest neighbour if that is smaller,
+    the hooks are followed to their roots by pointer doubling, and the roots with
+    the links between them are the next, much smaller graph. Labels are then
+    handed back level by level. Each level is written to the shared folder.
     """
-    links = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    both = materialize(links.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("_e")).select("_e.a", "_e.b").distinct(), "links")
-    labels = nodes.select("osmid").distinct().withColumn("component", F.col("osmid"))
-    first = both.groupBy(F.col("a").alias("osmid")).agg(F.min("b").alias("m"))
-    labels = materialize(labels.join(first, "osmid", "left").select("osmid", F.least("component", F.coalesce("m", "component")).alias("component")), "labels")
-    while True:
-        heard = both.join(labels.select(F.col("osmid").alias("b"), "component"), "b").groupBy(F.col("a").alias("osmid")).agg(F.min("component").alias("m"))
-        lower = labels.join(heard, "osmid", "left").select("osmid", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("low"))
-        jump = labels.select(F.col("osmid").alias("low"), F.col("component").alias("far"))
-        nxt = materialize(lower.join(jump, "low", "left").select("osmid", "was", F.least("low", F.coalesce("far", "low")).alias("component")), "labels")
-        done = nxt.where("was <> component").isEmpty()
-        labels = nxt.select("osmid", "component")
-        if done:
-            return labels
+    links = materialize(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "links")
+    levels: list[DataFrame] = []
+    while not links.isEmpty():
+        both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("_e")).select("_e.a", "_e.b")
+        hooks = materialize(both.groupBy(F.col("a").alias("x")).agg(F.least(F.min("b"), F.col("x")).alias("root")), "hooks")
+        while True:
+            up = hooks.select(F.col("x").alias("root"), F.col("root").alias("far"))
+            nxt = materialize(hooks.join(up, "root").select("x", F.col("far").alias("root"), (F.col("far") < F.col("root")).alias("moved")), "hooks")
+            hooks = nxt.select("x", "root")
+            if nxt.where("moved").isEmpty():
+                break
+        levels.append(hooks)
+        ra, rb = hooks.select(F.col("x").alias("a"), F.col("root").alias("ra")), hooks.select(F.col("x").alias("b"), F.col("root").alias("rb"))
+        lifted = links.join(ra, "a").join(rb, "b").where("ra <> rb")
+        links = materialize(lifted.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+    named = None
+    for hooks in reversed(levels):  # the label of a node is the label of its root one level up
+        if named is None:
+            named = hooks.select("x", F.col("root").alias("component"))
+        else:
+            top = named.select(F.col("x").alias("root"), "component")
+            named = materialize(hooks.join(top, "root", "left").select("x", F.coalesce("component", "root").alias("component")), "named")
+    ids = nodes.select("osmid").distinct()
+    if named is None:
+        return ids.withColumn("component", F.col("osmid"))
+    return ids.join(named.withColumnRenamed("x", "osmid"), "osmid", "left").select("osmid", F.coalesce("component", "osmid").alias("component"))
 
 
 def largest_component(graph: StreetGraph, strongly: bool = False) -> StreetGraph:
