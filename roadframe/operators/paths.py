@@ -15,6 +15,8 @@ from roadframe.session import materialize
 
 #: Edges that one task's routing index may hold (about 40 bytes each); larger graphs use the relaxation rounds.
 MAX_INDEX_EDGES = 20_000_000
+#: Edges up to which strong components are found in one task (16 bytes each).
+MAX_TASK_EDGES = 2_000_000
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -68,8 +70,11 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A round gives each open node the smallest id that reaches it; the nodes of one
     colour that reach back to their root form a component and leave the graph.
     """
-    open_nodes = materialize(nodes.select("osmid").distinct(), "open")
     links = materialize(edges.where("u <> v").select("u", "v").distinct(), "links")
+    if links.count() <= MAX_TASK_EDGES:  # many small components make many rounds: up to a checked size one task is faster
+        found = links.coalesce(1).mapInPandas(_strong_in_task, "osmid bigint, component bigint")
+        return nodes.select("osmid").distinct().join(found, "osmid", "left").select("osmid", F.coalesce("component", "osmid").alias("component"))
+    open_nodes = materialize(nodes.select("osmid").distinct(), "open")
     done: list[DataFrame] = []
     while not open_nodes.isEmpty():
         # nodes without an edge in or out are components of their own; leave them out first
@@ -110,6 +115,55 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(least, "component").select("osmid", F.col("m").alias("component"))
 
 
+def _strong_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strong components of a whole (checked, small) edge list by two depth-first passes without recursion."""
+    frames = list(batches)
+    if not frames:
+        return
+    pairs = pd.concat(frames).to_numpy()
+    ids = np.unique(pairs)
+    a, b = np.searchsorted(ids, pairs[:, 0]), np.searchsorted(ids, pairs[:, 1])
+
+    def adjacency(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(x, kind="stable")
+        return np.searchsorted(x[order], np.arange(len(ids) + 1)), y[order]
+
+    start, head = adjacency(a, b)
+    seen, finish = np.zeros(len(ids), bool), []
+    for root in range(len(ids)):
+        if seen[root]:
+            continue
+        seen[root] = True
+        stack = [(root, int(start[root]))]
+        while stack:
+            x, k = stack[-1]
+            if k < start[x + 1]:
+                stack[-1] = (x, k + 1)
+                y = int(head[k])
+                if not seen[y]:
+                    seen[y] = True
+                    stack.append((y, int(start[y])))
+            else:
+                finish.append(x)
+                stack.pop()
+    start, head = adjacency(b, a)
+    label = np.full(len(ids), -1)
+    for root in reversed(finish):
+        if label[root] >= 0:
+            continue
+        members, stack = [], [root]
+        label[root] = root
+        while stack:
+            x = stack.pop()
+            members.append(x)
+            for y in head[start[x]: start[x + 1]].tolist():
+                if label[y] < 0:
+                    label[y] = root
+                    stack.append(y)
+        label[members] = min(members)
+    yield pd.DataFrame({"osmid": ids, "component": ids[label]})
+
+
 def _inside(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.join(nodes.withColumnRenamed("osmid", "u"), "u", "left_semi").join(nodes.withColumnRenamed("osmid", "v"), "v", "left_semi").select("u", "v")
 

@@ -444,11 +444,11 @@ def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return paths.shortest_paths(_pairs(spark, d), edges(spark, d)).select("route_id", F.round("cost", 3).alias("cost"))
 
 
-@query(_DIST + " SELECT gn.osmid route_id, round(dist, 2) AS length FROM gn JOIN best USING (osmid) WHERE gn.osmid % 10 = 3 AND dist > 0")
+@query(_DIST + " SELECT gn.osmid route_id, round(dist, 1) AS length FROM gn JOIN best USING (osmid) WHERE gn.osmid % 10 = 3 AND dist > 0")
 def route_edges(spark: SparkSession, d: str) -> DataFrame:
     lines = edges(spark, d)
     routes = paths.shortest_paths(_pairs(spark, d), lines)
-    return convert.route_edges(routes, lines).groupBy("route_id").agg(F.round(F.sum("length"), 2).alias("length"))
+    return convert.route_edges(routes, lines).groupBy("route_id").agg(F.round(F.sum("length"), 1).alias("length"))
 
 
 @query()
