@@ -56,7 +56,7 @@ def clean_maxspeed(text: Column, convert_mph: bool = True) -> Column:
 
 def collapse_maxspeeds(texts: Column, agg: Callable[[Column], Column] | None = None) -> Column:
     """One limit from an array of texts: the mean (or ``agg`` over the array) of those that can be read; null if none can."""
-    values = F.filter(F.transform(texts, clean_maxspeed), lambda v: v.isNotNull())
+    values = F.filter(F.transform(texts, lambda t: clean_maxspeed(t)), lambda v: v.isNotNull())
     if agg is not None:
         return F.when(F.size(values) > 0, agg(values))
     return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values))

@@ -181,7 +181,7 @@ def assign_units(members: DataFrame, extracts: DataFrame, declared_weight: float
     mixture = fit_mixture(centres, np.array([r["count"] for r in rows] or [1]))
 
     notes = extracts.where("extract_id IS NOT NULL").groupBy(F.col("extract_id").alias("extract_key")).agg(
-        F.max_by("speed_note", "published_at").alias("note"))
+        F.max_by("speed_note", F.struct("published_at")).alias("note"))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         note = frame["note"].iloc[0]
