@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,11 +102,13 @@ def relation_geometry(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT n, round(sum(value), 4) total FROM events GROUP BY 1, 2""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """The event file as a stream in one available-now run; the complete table is kept in the shared folder."""
-    import uuid
-
     static = table(spark, d, "events")
     place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(static.schema).option("pathGlobFilter", "events*.parquet" if not d.endswith(".parquet") else "*").parquet(d)
+    reader = spark.readStream.schema(static.schema)
+    if os.path.isfile(f"{d}/events.parquet"):  # a stream reads folders: pick the one file out of its folder
+        source = reader.option("pathGlobFilter", "events.parquet").parquet(d)
+    else:
+        source = reader.parquet(f"{d}/events.parquet")
     counts = windowed_counts(source.withColumn("ts", F.col("ts").cast("timestamp")))
 
     def keep(batch: DataFrame, number: int) -> None:
