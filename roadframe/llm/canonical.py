@@ -37,15 +37,15 @@ LOOKALIKES = dict(zip(
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ſt", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij",
              "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj", "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj", "Ǳ": "DZ", "ǲ": "Dz", "ǳ": "dz"}
 # Blanks of other kinds, and line ends of other kinds.
-BLANKS = "               　"
-LINE_ENDS = "\r\x85  "
+BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+LINE_ENDS = "\r\x85\u2028\u2029"
 # Characters that show nothing.
-INVISIBLE = ("­͏؜᠎​‌‍‎‏‪‫‬‭‮"
-             "⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯﻿")
+INVISIBLE = ("\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e"
+             "\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufeff")
 #: Emoji that start a joined sequence, and what may follow a joiner (ranges of fixed values).
 _JOIN_START = "⛓❤\U0001f34b\U0001f344\U0001f3c3-\U0001f3c4\U0001f3ca-\U0001f3cc\U0001f3f3-\U0001f3f4\U0001f408\U0001f415\U0001f426\U0001f43b\U0001f441\U0001f466-\U0001f469\U0001f46e-\U0001f487\U0001f575\U0001f62e\U0001f635-\U0001f636\U0001f642\U0001f645-\U0001f64e\U0001f6a3\U0001f6b4-\U0001f6b6\U0001f926\U0001f935-\U0001f93e\U0001f9b8-\U0001f9b9\U0001f9cd-\U0001f9df\U0001faf1"
 _PICTURE = "←-⇿☀-➿⬀-⯿\U0001f000-\U0001faff"
-_MODIFIER = "️\U0001f3fb-\U0001f3ff"
+_MODIFIER = "\ufe0f\U0001f3fb-\U0001f3ff"
 
 
 def _width(char: str) -> str:
@@ -87,7 +87,7 @@ class Transducer:
         self.mapping = compile_mapping()
         hidden = re.escape(INVISIBLE)
         marks = "".join(f"{chr(a)}-{chr(b)}" for a, b in _mark_ranges())
-        joined = f"[{_JOIN_START}][{_MODIFIER}{hidden}]*(?:‍[{hidden}]*[{_PICTURE}][{_MODIFIER}{hidden}]*)+"
+        joined = f"[{_JOIN_START}][{_MODIFIER}{hidden}]*(?:\u200d[{hidden}]*[{_PICTURE}][{_MODIFIER}{hidden}]*)+"
         jamo = f"[ᄀ-ᇿ가-힣](?:[{hidden}]*[ᅠ-ᇿ])+"
         # longest first: joined emoji, syllables of jamo, a base with marks or invisibles, a bare character
         self.cluster = re.compile(f"({joined})|{jamo}|.?[{marks}{hidden}ﾞﾟ]+|.", re.DOTALL)
@@ -109,8 +109,8 @@ class Transducer:
     def _transduce(self, match: re.Match) -> str:
         cluster = match.group()
         if match.group(1) is not None:
-            plain = "".join(c for c in cluster if c == "‍" or c not in INVISIBLE)
-            return re.sub("‍+", "‍", plain).rstrip("‍")
+            plain = "".join(c for c in cluster if c == "\u200d" or c not in INVISIBLE)
+            return re.sub("\u200d+", "\u200d", plain).rstrip("\u200d")
         if len(cluster) == 1:
             return self.mapping.get(cluster, cluster)
         parts = unicodedata.normalize("NFD", "".join(self.mapping.get(c, c) for c in cluster))
