@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadframe.functions.geo import line_length
-from roadframe.model import GraphSimplificationError, StreetGraph
+from roadframe.model import EARTH_RADIUS_M, GraphSimplificationError, StreetGraph
 from roadframe.operators.convert import edge_points
 from roadframe.operators.paths import weak_components
+from roadframe.operators.proximity import near_pairs
 from roadframe.session import materialize
 
 
@@ -141,7 +142,12 @@ def cluster_nodes(nodes: DataFrame, tolerance: float | Column, max_tolerance: fl
     probe = placed.select(F.col("osmid").alias("o2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("r").alias("r2"), near.alias("_c")).select("o2", "x2", "y2", "r2", "_c.i", "_c.j")
     d2 = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
     touch = placed.join(probe, ["i", "j"]).where((F.col("osmid") < F.col("o2")) & (d2 <= (F.col("r") + F.col("r2")) * (F.col("r") + F.col("r2"))))
-    labels = weak_components(nodes, touch.select(F.col("osmid").alias("u"), F.col("o2").alias("v")))
+    return label_clusters(nodes, touch.select("osmid", "o2"))
+
+
+def label_clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(osmid, x, y, cluster)`` of nodes joined by ``pairs`` (two columns of ids), directly or through others."""
+    labels = weak_components(nodes, pairs.toDF("u", "v"))
     return nodes.select("osmid", "x", "y").join(labels.withColumnRenamed("component", "cluster"), "osmid")
 
 
@@ -172,10 +178,30 @@ def disc_union_centroid(xs: np.ndarray, ys: np.ndarray, r: float) -> tuple[float
     return (ox + mx / area, oy + my / area) if area > 0 else (ox, oy)
 
 
+def on_local_plane(lon: np.ndarray, lat: np.ndarray, centre: Callable[[np.ndarray, np.ndarray], tuple[float, float]]) -> tuple[float, float]:
+    """Longitude and latitude of ``centre``, which sees the points in metres on a plane that touches the sphere amid them (distances from its origin are true)."""
+    a, b = np.radians(lon), np.radians(lat)
+    v = np.column_stack((np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)))
+    c = v.mean(0)
+    c = c / np.linalg.norm(c)
+    east = np.array([-c[1], c[0], 0.0]) if np.hypot(c[0], c[1]) > 1e-12 else np.array([0.0, 1.0, 0.0])
+    east /= np.linalg.norm(east)
+    axes = np.column_stack((east, np.cross(c, east)))
+    flat, up = v @ axes, v @ c
+    away = np.hypot(flat[:, 0], flat[:, 1])
+    x, y = (flat * (EARTH_RADIUS_M * np.divide(np.arctan2(away, up), away, out=np.ones_like(away), where=away > 0))[:, None]).T
+    p = np.array(centre(x, y)) / EARTH_RADIUS_M
+    angle = np.hypot(*p)
+    w = np.cos(angle) * c + np.sinc(angle / np.pi) * (axes @ p)
+    return float(np.degrees(np.arctan2(w[1], w[0]))), float(np.degrees(np.arctan2(w[2], np.hypot(w[0], w[1]))))
+
+
 def consolidate_intersections(graph: StreetGraph, tolerance: float = 10.0, max_length: float | None = None, dead_ends: bool = False,
                               reconnect: bool = True, aggs: dict[str, Callable[[Column], Column]] | None = None) -> StreetGraph:
-    """Nodes within twice the tolerance of each other become one node (projected graphs).
+    """Nodes within twice the tolerance of each other become one node.
 
+    Projected graphs are measured in their plane. Others are measured in metres on the sphere, so that no
+    zone, pole or longitude 180 cuts a cluster; a cluster's place is found on the plane that touches the sphere there.
     A cluster whose nodes are not all linked inside it (edges over ``max_length``
     do not link) is split into its linked parts. New nodes list their ``osmid_original``.
     """
@@ -186,7 +212,9 @@ def consolidate_intersections(graph: StreetGraph, tolerance: float = 10.0, max_l
     nodes = graph.nodes
     if not dead_ends and "street_count" in nodes.columns:
         nodes = nodes.where("street_count > 1")
-    placed = materialize(cluster_nodes(nodes, tolerance), "clusters")
+    flat = graph.projected
+    clusters = cluster_nodes(nodes, tolerance) if flat else label_clusters(nodes, near_pairs(nodes, 2.0 * tolerance))
+    placed = materialize(clusters, "clusters")
     side = lambda p: placed.select(F.col("osmid").alias(p), F.col("cluster").alias(f"c{p}"))
     linking = graph.edges if max_length is None else graph.edges.where(F.col("length") <= max_length)
     inner = linking.select("u", "v").join(side("u"), "u").join(side("v"), "v").where("cu = cv").select("u", "v")
@@ -197,15 +225,19 @@ def consolidate_intersections(graph: StreetGraph, tolerance: float = 10.0, max_l
         rows = []
         split = pdf["part"].nunique() > 1
         for part, g in pdf.groupby("part"):
-            if split or len(g) == 1:
-                u = np.unique(g[["x", "y"]].to_numpy(), axis=0)
-                x, y = u.mean(0)
+            at = g[["x", "y"]].drop_duplicates().to_numpy()
+            if len(at) == 1:
+                x, y = at[0]
             else:
-                x, y = disc_union_centroid(g["x"].to_numpy(), g["y"].to_numpy(), tolerance)
+                mid = (lambda a, b: (a.mean(), b.mean())) if split else (lambda a, b: disc_union_centroid(a, b, tolerance))
+                x, y = mid(*at.T) if flat else on_local_plane(*at.T, mid)
             rows.append((int(part), float(x), float(y)))
         return pd.DataFrame(rows, columns=["part", "x", "y"])
 
-    centres = placed.select("cluster", "part", "x", "y").groupBy("cluster").applyInPandas(centre, "part bigint, x double, y double")
+    # only clusters of several nodes go to the kernel
+    sizes = placed.groupBy("cluster").agg((F.count(F.lit(1)) == 1).alias("lone"))
+    sized = placed.select("cluster", "part", "x", "y").join(sizes, "cluster")
+    centres = sized.where("NOT lone").drop("lone").groupBy("cluster").applyInPandas(centre, "part bigint, x double, y double").unionByName(sized.where("lone").select("part", "x", "y"))
     rest = [c for c in nodes.columns if c not in ("osmid", "x", "y", "street_count")]
     aggs = {"elevation": F.avg} | (aggs or {})
     columns = [(aggs[c](F.col(c)) if c in aggs else F.array_sort(F.collect_set(c))).alias(c) for c in rest]
@@ -221,7 +253,7 @@ def consolidate_intersections(graph: StreetGraph, tolerance: float = 10.0, max_l
     moved = moved.join(place("u"), "pu").join(place("v"), "pv")
     shape = F.concat(F.when(F.col("manyu"), F.array("atu")).otherwise(F.array().cast("array<struct<x:double,y:double>>")), "geometry",
                      F.when(F.col("manyv") & (F.col("pu") != F.col("pv")), F.array("atv")).otherwise(F.array().cast("array<struct<x:double,y:double>>")))
-    moved = moved.withColumn("geometry", shape).withColumn("length", F.when(F.col("manyu") | F.col("manyv"), line_length(F.col("geometry"), "euclid")).otherwise(F.col("length")))
+    moved = moved.withColumn("geometry", shape).withColumn("length", F.when(F.col("manyu") | F.col("manyv"), line_length(F.col("geometry"), "euclid" if flat else "haversine")).otherwise(F.col("length")))
     from pyspark.sql import Window
 
     number = F.row_number().over(Window.partitionBy("pu", "pv").orderBy("u", "v", "key")) - 1

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roadframe.functions import geo
 from roadframe.functions.maxspeed import IMPLICIT_KPH, clean_maxspeed
+from roadframe.model import StreetGraph
 from roadframe.operators import attributes, build, convert, filters, nearest, paths, sampling, simplify, stats, truncate
 from roadframe.plans.base import CURRENT_SQL, GRAPH_SQL, bearing_sql, edges, graph, haversine, nodes
 from roadframe.sources import osm
@@ -470,11 +471,19 @@ def simplify_graph(spark: SparkSession, d: str) -> DataFrame:
     return simplify.simplify_graph(graph(spark, d)).edges.select("u", "v", "key", F.round("length", 3).alias("length"), F.size("osmid").alias("n_ways"), F.size("geometry").alias("n_points"))
 
 
+def _consolidated(spark: SparkSession, d: str, reconnect: bool) -> StreetGraph:
+    g = graph(spark, d, geometry=True)
+    return simplify.consolidate_intersections(g.with_(nodes=g.nodes.select("osmid", "x", "y")), 15.0, reconnect=reconnect)
+
+
 @query()
 def consolidate_intersections(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).where("x BETWEEN 0 AND 180 AND y BETWEEN -80 AND 84")
-    flat = attributes.project_nodes(n, 32631)
-    return simplify.consolidate_intersections(graph(spark, d).with_(nodes=flat.select("osmid", "x", "y"), attrs={"crs": 32631}), 15.0).nodes.select("osmid", F.size("osmid_original").alias("n"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    return _consolidated(spark, d, False).nodes.select("osmid", F.size("osmid_original").alias("n"), F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+@query()
+def consolidated_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _consolidated(spark, d, True).edges.select("u", "v", "key", "u_original", "v_original", "ord", F.round("length", 3).alias("length"), F.size("geometry").alias("n_points"))
 
 
 @query()

@@ -75,6 +75,28 @@ def test_consolidate(spark, limit, clusters, edges):
     assert out.nodes.count() == clusters and out.edges.count() == edges
 
 
+def test_consolidate_on_the_sphere(spark):
+    # pairs 22 m apart west of Greenwich, far east on the equator, over longitude 180, over a zone border, in the south and at the pole
+    step = 0.0002
+    spots = [(-100.0, 0.0), (93.0, 0.0), (180.0 - step / 2, 0.0), (6.0 - step / 2, 10.0), (20.0, -60.0), (10.0, 89.9)]
+    nodes, lines = [], []
+    for i, (x, y) in enumerate(spots):
+        x2 = x + step / math.cos(math.radians(y))
+        nodes += [(10 * i, x, y), (10 * i + 1, x2 - 360 if x2 > 180 else x2, y), (10 * i + 2, x, y - 0.01)]
+        lines += [(10 * i, 10 * i + 1, 0, 2 * i, "a", 22.0, None), (10 * i + 1, 10 * i + 2, 0, 2 * i + 1, "a", 1.0, None)]
+    far = spark.createDataFrame(nodes, "osmid bigint, x double, y double")
+    out = simplify.consolidate_intersections(StreetGraph(far, spark.createDataFrame(lines, EDGES)), 15.0, dead_ends=True)
+    rows = {r.osmid: r for r in out.nodes.collect()}
+    assert sorted(rows) == sorted([10 * i for i in range(6)] + [10 * i + 2 for i in range(6)])
+    for i, (x, y) in enumerate(spots):
+        got = rows[10 * i]
+        assert got.osmid_original == [10 * i, 10 * i + 1] and got.y == pytest.approx(y, abs=1e-6)
+        assert math.cos(math.radians(got.x - x - step / 2 / math.cos(math.radians(y)))) == pytest.approx(1, abs=1e-12)
+    edges = {(r.u, r.v): r for r in out.edges.collect()}
+    assert set(edges) == {(10 * i, 10 * i + 2) for i in range(6)}
+    assert all(r.length == pytest.approx(1112 + 11, abs=2) and len(r.geometry) == 3 for r in edges.values())
+
+
 def test_disc_union():
     import numpy as np
 
