@@ -14,6 +14,7 @@ from roadframe.model import EARTH_RADIUS_M, GraphSimplificationError, StreetGrap
 from roadframe.operators.convert import edge_points
 from roadframe.operators.paths import weak_components
 from roadframe.operators.proximity import near_pairs
+from roadframe.operators.stats import count_streets_per_node
 from roadframe.session import materialize
 
 
@@ -196,12 +197,14 @@ def on_local_plane(lon: np.ndarray, lat: np.ndarray, centre: Callable[[np.ndarra
     return float(np.degrees(np.arctan2(w[1], w[0]))), float(np.degrees(np.arctan2(w[2], np.hypot(w[0], w[1]))))
 
 
-def consolidate_intersections(graph: StreetGraph, tolerance: float = 10.0, max_length: float | None = None, dead_ends: bool = False,
+def consolidate_intersections(graph: StreetGraph, tolerance: float = 10.0, max_length: float | None = None, dead_ends: bool | None = None,
                               reconnect: bool = True, aggs: dict[str, Callable[[Column], Column]] | None = None) -> StreetGraph:
     """Nodes within twice the tolerance of each other become one node.
 
     Projected graphs are measured in their plane. Others are measured in metres on the sphere, so that no
     zone, pole or longitude 180 cuts a cluster; a cluster's place is found on the plane that touches the sphere there.
+    Nodes of at most one street are dropped when ``dead_ends`` is False: by their ``street_count``, or counted here
+    when there is no such column. None drops them only where the column is there; True keeps them.
     A cluster whose nodes are not all linked inside it (edges over ``max_length``
     do not link) is split into its linked parts. New nodes list their ``osmid_original``.
     """
@@ -210,6 +213,8 @@ def consolidate_intersections(graph: StreetGraph, tolerance: float = 10.0, max_l
     if graph.attrs.get("consolidated"):
         raise GraphSimplificationError("this graph has been consolidated already")
     nodes = graph.nodes
+    if dead_ends is False and "street_count" not in nodes.columns:
+        nodes = nodes.join(count_streets_per_node(nodes, graph.edges), "osmid")
     if not dead_ends and "street_count" in nodes.columns:
         nodes = nodes.where("street_count > 1")
     flat = graph.projected

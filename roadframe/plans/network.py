@@ -473,7 +473,7 @@ def simplify_graph(spark: SparkSession, d: str) -> DataFrame:
 
 def _consolidated(spark: SparkSession, d: str, reconnect: bool) -> StreetGraph:
     g = graph(spark, d, geometry=True)
-    return simplify.consolidate_intersections(g.with_(nodes=g.nodes.select("osmid", "x", "y")), 15.0, reconnect=reconnect)
+    return simplify.consolidate_intersections(g.with_(nodes=g.nodes.select("osmid", "x", "y")), 15.0, dead_ends=False, reconnect=reconnect)
 
 
 @query()

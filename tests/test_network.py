@@ -97,6 +97,18 @@ def test_consolidate_on_the_sphere(spark):
     assert all(r.length == pytest.approx(1112 + 11, abs=2) and len(r.geometry) == 3 for r in edges.values())
 
 
+def test_consolidate_drops_dead_ends(spark):
+    # a triangle with a dead end 1 m from its first corner; the table has no street_count
+    nodes = spark.createDataFrame([(0, 0.0, 0.0), (1, 100.0, 0.0), (2, 0.0, 100.0), (3, 1.0, 0.0)], "osmid bigint, x double, y double")
+    lines = spark.createDataFrame([(a, b, 0, i, "a", 1.0, None) for i, (a, b) in enumerate([(0, 1), (1, 2), (2, 0), (0, 3), (3, 0)])], EDGES)
+    graph = StreetGraph(nodes, lines, {"crs": 3857})
+    out = simplify.consolidate_intersections(graph, 1.0, dead_ends=False)
+    assert sorted(r.osmid_original for r in out.nodes.collect()) == [[0], [1], [2]] and out.edges.count() == 3
+    assert "street_count" not in out.nodes.columns
+    kept = simplify.consolidate_intersections(graph, 1.0, dead_ends=True, reconnect=False)
+    assert sorted(r.osmid_original for r in kept.nodes.collect()) == [[0, 3], [1], [2]]
+
+
 def test_disc_union():
     import numpy as np
 
