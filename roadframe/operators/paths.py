@@ -229,6 +229,88 @@ class _Index:
                     heapq.heappush(queue, (nd, y))
         return None
 
+    def tree(self, source: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least cost and node before, for every node; the same paths as ``search``. Unreached: infinity and -1."""
+        best, before = np.full(len(self.ids), np.inf), np.full(len(self.ids), -1)
+        best[source] = 0.0
+        queue, closed = [(0.0, source)], bytearray(len(self.ids))
+        while queue:
+            d, x = heapq.heappop(queue)
+            if closed[x]:
+                continue
+            closed[x] = 1
+            a, b = self.start[x], self.start[x + 1]
+            for y, w in zip(self.head[a:b].tolist(), self.cost[a:b].tolist()):
+                if not closed[y] and d + w < best[y]:
+                    best[y], before[y] = d + w, x
+                    heapq.heappush(queue, (d + w, y))
+        return best, before
+
+    def turn(self) -> None:
+        """Adjacency of the turned edges, for searches towards a source."""
+        if not hasattr(self, "tails"):
+            a = np.repeat(np.arange(len(self.ids)), np.diff(self.start))
+            order = np.lexsort((a, self.head))
+            self.tails, self.back_cost = a[order], self.cost[order]
+            self.back = np.searchsorted(self.head[order], np.arange(len(self.ids) + 1))
+
+    def _detour(self, node: int, source: int, best: np.ndarray, banned_nodes: set, cut: set, limit: float) -> list[int] | None:
+        """Cheapest way back from ``node`` to ``source`` at most ``limit`` long; the tree's distances guide it, so it seldom strays."""
+        known, after, queue, closed = {node: 0.0}, {}, [(float(best[node]), node)], set()
+        while queue:
+            f, x = heapq.heappop(queue)
+            if f > limit:
+                return None
+            if x in closed:
+                continue
+            if x == source:
+                path = [x]
+                while x != node:
+                    x = after[x]
+                    path.append(x)
+                return path[::-1]
+            closed.add(x)
+            g, a, b = known[x], self.back[x], self.back[x + 1]
+            for y, w in zip(self.tails[a:b].tolist(), self.back_cost[a:b].tolist()):
+                if y in closed or y in banned_nodes or (x == node and y in cut):
+                    continue
+                if g + w < known.get(y, float("inf")) and best[y] < float("inf"):
+                    known[y], after[y] = g + w, x
+                    heapq.heappush(queue, (g + w + float(best[y]), y))
+        return None
+
+    def from_tree(self, source: int, target: int, k: int, best: np.ndarray, before: np.ndarray) -> Iterator[tuple[float, list[int]]]:
+        """What ``k_best`` gives, from the tree of the source: paths are taken from the target back, so one tree guides all detours."""
+        if best[target] == np.inf:
+            return
+        path = [target]
+        while path[-1] != source:
+            path.append(int(before[path[-1]]))
+        yield float(best[target]), path[::-1]
+        if k == 1:
+            return
+        self.turn()
+        found, waiting, last, at = [path], [], path, 0
+        while len(found) < k:
+            costs = sorted(c for c, *_ in waiting)
+            for i in range(at, len(last) - 1):  # earlier places were tried when the path that this one left was found
+                root = last[: i + 1]
+                cut = {p[i + 1] for p in found if p[: i + 1] == root and len(p) > i + 1}
+                need = k - len(found)
+                limit = costs[need - 1] * (1 + 1e-9) + 1e-9 if len(costs) >= need else float("inf")
+                spur = self._detour(root[-1], source, best, set(root[:-1]), cut, limit - self.path_cost(root[::-1]))
+                if spur is not None:
+                    whole = root[:-1] + spur
+                    cost = self.path_cost(whole[::-1])
+                    heapq.heappush(waiting, (cost, whole[::-1], i))
+                    costs = sorted([*costs, cost])
+            if not waiting:
+                return
+            cost, forward, at = heapq.heappop(waiting)
+            last = forward[::-1]
+            found.append(last)
+            yield cost, forward
+
     def path_cost(self, path: list[int]) -> float:
         total = 0.0
         for x, y in zip(path[:-1], path[1:]):
@@ -274,15 +356,28 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, weight: str = "length", k
     table = least.toArrow()
     shared = edges.sparkSession.sparkContext.broadcast([table[c].to_numpy() for c in ("u", "v", "w")])
 
+    columns = ["route_id", "orig", "dest", "rank", "cost", "nodes"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _Index(*shared.value)
+        index, root, tree = _Index(*shared.value), None, None
         for batch in batches:
             rows = []
-            for route, a, b in zip(batch["route_id"], batch["orig"], batch["dest"]):
+            often = batch["orig"].value_counts()
+            for route, a, b in batch[["route_id", "orig", "dest"]].sort_values("orig").itertuples(index=False):
                 s, t = (index.find(int(x)) if pd.notna(x) else -1 for x in (a, b))
-                got = list(index.k_best(s, t, k)) if s >= 0 and t >= 0 else []
+                if s < 0 or t < 0:
+                    got = []
+                elif s != root and often[a] == 1:
+                    got = list(index.k_best(s, t, k))
+                else:  # an origin of several routes: one search tree serves them all
+                    if s != root:
+                        root, tree = s, index.tree(s)
+                    got = list(index.from_tree(s, t, k, *tree))
                 rows += [(route, a, b, i, c, [int(index.ids[x]) for x in p]) for i, (c, p) in enumerate(got, 1)] or [(route, a, b, 1, None, None)]
-            yield pd.DataFrame(rows, columns=["route_id", "orig", "dest", "rank", "cost", "nodes"])
+                if len(rows) >= 2000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     spread = pairs.select("route_id", "orig", "dest").repartition(2 * edges.sparkSession.sparkContext.defaultParallelism)
     return spread.mapInPandas(run, "route_id bigint, orig bigint, dest bigint, rank int, cost double, nodes array<bigint>")

@@ -394,6 +394,17 @@ def nearest_edges(spark: SparkSession, d: str) -> DataFrame:
     return nearest.nearest_edges(lines, _query_points(spark, d)).select("point_id", F.round("dist", 9).alias("dist"))
 
 
+def _all_points(spark: SparkSession, d: str) -> DataFrame:
+    return nodes(spark, d).select(F.col("osmid").alias("point_id"), (F.col("x") + 0.0007).alias("x"), (F.col("y") - 0.0004).alias("y"))
+
+
+@query(G + f""", q AS (SELECT osmid point_id, x + 0.0007 x, y - 0.0004 y FROM gn),
+    c AS (SELECT point_id, osmid, {haversine('q.y', 'q.x', 'g.y', 'g.x')} dist FROM q, gn g)
+    SELECT point_id, round(min(dist), 3) dist FROM c GROUP BY point_id""")
+def nearest_nodes_all(spark: SparkSession, d: str) -> DataFrame:
+    return nearest.nearest_nodes(nodes(spark, d), _all_points(spark, d)).select("point_id", F.round("dist", 3).alias("dist"))
+
+
 _COMPONENTS = "WITH RECURSIVE " + GRAPH_SQL + """, l AS (SELECT u a, v b FROM ge UNION SELECT v, u FROM ge),
 best(osmid, c) USING KEY (osmid) AS (SELECT osmid, osmid FROM gn UNION
   SELECT l.b, min(n.c) FROM best n JOIN l ON l.a = n.osmid JOIN recurring.best o ON o.osmid = l.b WHERE n.c < o.c GROUP BY l.b)"""
@@ -452,9 +463,25 @@ def route_edges(spark: SparkSession, d: str) -> DataFrame:
     return convert.route_edges(routes, lines).groupBy("route_id").agg(F.round(F.sum("length"), 1).alias("length"))
 
 
+def _all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return nodes(spark, d).select(F.col("osmid").alias("route_id"), F.lit(_hub(spark, d)).alias("orig"), F.col("osmid").alias("dest"))
+
+
+@query(_DIST + " SELECT gn.osmid route_id, round(dist, 3) AS cost FROM gn LEFT JOIN best USING (osmid)")
+def shortest_path_all(spark: SparkSession, d: str) -> DataFrame:
+    return paths.shortest_paths(_all_pairs(spark, d), edges(spark, d)).select("route_id", F.round("cost", 3).alias("cost"))
+
+
+@query(_DIST + " SELECT gn.osmid route_id, round(dist, 3) AS length FROM gn JOIN best USING (osmid) WHERE dist > 0")
+def route_edges_all(spark: SparkSession, d: str) -> DataFrame:
+    lines = edges(spark, d)
+    routes = paths.shortest_paths(_all_pairs(spark, d), lines)
+    return convert.route_edges(routes, lines).groupBy("route_id").agg(F.round(F.sum("length"), 3).alias("length"))
+
+
 @query()
 def k_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    return paths.shortest_paths(_pairs(spark, d), edges(spark, d), k=3).select("route_id", "rank", F.round("cost", 3).alias("cost"), F.size("nodes").alias("n_nodes"))
+    return paths.shortest_paths(_all_pairs(spark, d), edges(spark, d), k=3).select("route_id", "rank", F.round("cost", 3).alias("cost"), F.size("nodes").alias("n_nodes"))
 
 
 # ---- topology -----------------------------------------------------------------

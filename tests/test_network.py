@@ -9,6 +9,7 @@ from roadframe.model import GraphSimplificationError, StreetGraph
 from roadframe.operators import convert, nearest, paths, simplify, stats
 from roadframe.operators.features import assemble_multipolygon, multipolygon_wkt
 from roadframe.operators.filters import parse_clauses
+from roadframe.plans import network
 from roadframe.sources.osm import chain_nodes
 
 EDGES = "u bigint, v bigint, key int, ord bigint, osmid string, length double, lanes string"
@@ -136,6 +137,36 @@ def test_paths(spark):
     assert {(r.u, r.v, r.key) for r in convert.to_digraph(edges).collect()} == {(1, 2, 0), (2, 3, 0), (1, 3, 1), (4, 4, 0)}
 
 
+def test_paths_from_one_tree():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    pairs = np.array(sorted({(int(a), int(b)) for a, b in rng.integers(0, 30, (90, 2)) if a != b}))
+    index = paths._Index(pairs[:, 0], pairs[:, 1], rng.random(len(pairs)))
+    for s in (0, 5):
+        tree = index.tree(s)
+        for t in range(len(index.ids)):
+            want, got = list(index.k_best(s, t, 4)), list(index.from_tree(s, t, 4, *tree))
+            assert [p for _, p in got] == [p for _, p in want] and [c for c, _ in got] == pytest.approx([c for c, _ in want])
+
+
+def write_graph(spark, folder, nodes, edges):
+    """Tables ``nodes`` and ``edges`` of a small graph from (osmid, x, y) and (u, v, key, length, geom_wkt)."""
+    spark.createDataFrame([(*n, None, None) for n in nodes], "osmid bigint, x double, y double, elevation double, highway string").write.parquet(f"{folder}/nodes.parquet")
+    rows = [(i, *e[:3], "1", None, None, False, False, *e[3:]) for i, e in enumerate(edges)]
+    spark.createDataFrame(rows, "ord bigint, u bigint, v bigint, key int, osmid string, highway string, maxspeed string, oneway boolean, reversed boolean, length double, geom_wkt string").write.parquet(f"{folder}/edges.parquet")
+    return str(folder)
+
+
+def test_every_node_gets_its_answer(spark, tmp_path):
+    d = write_graph(spark, tmp_path, [(i, 0.001 * i, 0.0) for i in range(1, 6)], [(1, 2, 0, 1.0, None), (1, 3, 0, 5.0, None), (1, 4, 0, 1.0, None), (2, 3, 0, 1.0, None)])
+    assert {tuple(r) for r in network.shortest_path_all(spark, d).collect()} == {(1, 0.0), (2, 1.0), (3, 2.0), (4, 1.0), (5, None)}
+    assert {tuple(r) for r in network.route_edges_all(spark, d).collect()} == {(2, 1.0), (3, 2.0), (4, 1.0)}
+    got = {(r.route_id, r["rank"]): (r.cost, r.n_nodes) for r in network.k_shortest_paths(spark, d).collect()}
+    assert got == {(1, 1): (0.0, 1), (2, 1): (1.0, 2), (3, 1): (2.0, 3), (3, 2): (5.0, 2), (4, 1): (1.0, 2), (5, 1): (None, got[5, 1][1])}
+    assert {r.point_id for r in network.nearest_nodes_all(spark, d).collect()} == {1, 2, 3, 4, 5}
+
+
 def test_nearest(spark):
     nodes = spark.createDataFrame([(i, float(i % 7), float(i // 7)) for i in range(49)], "osmid bigint, x double, y double")
     points = spark.createDataFrame([(1, 2.2, 3.3), (2, 100.0, 100.0), (3, None, 1.0)], "point_id bigint, x double, y double")
