@@ -405,6 +405,20 @@ def nearest_nodes_all(spark: SparkSession, d: str) -> DataFrame:
     return nearest.nearest_nodes(nodes(spark, d), _all_points(spark, d)).select("point_id", F.round("dist", 3).alias("dist"))
 
 
+# every edge as its points: those of its text, else its two ends
+_LINES = G + """, ln AS (SELECT u, v, key, CASE WHEN geom_wkt IS NULL THEN [{'x': ux, 'y': uy}, {'x': vx, 'y': vy}] ELSE
+      list_transform(string_split(regexp_extract(geom_wkt, '\\(([^()]*)\\)', 1), ','), lambda p: {'x': string_split(trim(p), ' ')[1]::DOUBLE, 'y': string_split(trim(p), ' ')[2]::DOUBLE}) END p FROM gx),
+    sg AS (SELECT u, v, key, p[i].x ux, p[i].y uy, p[i + 1].x - p[i].x dx, p[i + 1].y - p[i].y dy FROM (SELECT *, unnest(range(1, len(p))) i FROM ln))"""
+
+
+@query(_LINES + """, q AS (SELECT osmid point_id, x + 0.0007 px, y - 0.0004 py FROM gn),
+    c AS (SELECT point_id, px, py, ux, uy, dx, dy, greatest(0, least(1, coalesce(((px - ux) * dx + (py - uy) * dy) / nullif(dx * dx + dy * dy, 0), 0))) t FROM q, sg)
+    SELECT point_id, round(min(sqrt(power(ux + t * dx - px, 2) + power(uy + t * dy - py, 2))), 9) dist FROM c GROUP BY point_id""")
+def nearest_edge_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = convert.edge_points(graph(spark, d, geometry=True))
+    return nearest.nearest_edges(lines, _all_points(spark, d)).select("point_id", F.round("dist", 9).alias("dist"))
+
+
 _COMPONENTS = "WITH RECURSIVE " + GRAPH_SQL + """, l AS (SELECT u a, v b FROM ge UNION SELECT v, u FROM ge),
 best(osmid, c) USING KEY (osmid) AS (SELECT osmid, osmid FROM gn UNION
   SELECT l.b, min(n.c) FROM best n JOIN l ON l.a = n.osmid JOIN recurring.best o ON o.osmid = l.b WHERE n.c < o.c GROUP BY l.b)"""
@@ -524,6 +538,12 @@ def interpolate_points(spark: SparkSession, d: str) -> DataFrame:
     return geo.interpolate_lines(lines, 0.01, ["u", "v", "key"]).select("u", "v", "key", F.size("points").alias("n_points"))
 
 
+@query(_LINES + " SELECT u, v, key, (greatest(round_even(sum(sqrt(dx * dx + dy * dy)) / 0.01, 0), 1) + 1)::INTEGER n_points FROM sg GROUP BY u, v, key")
+def interpolate_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = convert.edge_points(graph(spark, d, geometry=True))
+    return geo.interpolate_lines(lines, 0.01, ["u", "v", "key"]).select("u", "v", "key", F.size("points").alias("n_points"))
+
+
 @query(G + """ SELECT ord, len(string_split(regexp_extract(geom_wkt, '\\(([^()]*)\\)', 1), ','))::INTEGER n_points FROM ge WHERE geom_wkt IS NOT NULL""")
 def edge_geometry(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d, geometry=True)

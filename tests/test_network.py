@@ -167,6 +167,20 @@ def test_every_node_gets_its_answer(spark, tmp_path):
     assert {r.point_id for r in network.nearest_nodes_all(spark, d).collect()} == {1, 2, 3, 4, 5}
 
 
+def test_bent_edges(spark, tmp_path):
+    # the edge runs over (0.02, 0.03), past the third node; its ends' straight line is far from there
+    d = write_graph(spark, tmp_path, [(1, 0.0, 0.0), (2, 0.04, 0.0), (3, 0.0193, 0.0304)], [(1, 2, 0, 1.0, "LINESTRING (0 0, 0.02 0.03, 0.04 0)"), (2, 1, 0, 1.0, None)])
+    got = {r.point_id: r.dist for r in network.nearest_edge_lines(spark, d).collect()}
+
+    def away(x, y, line):
+        at = [(ax + (bx - ax) * k / 5000, ay + (by - ay) * k / 5000) for (ax, ay), (bx, by) in zip(line, line[1:]) for k in range(5001)]
+        return min(math.hypot(x - a, y - b) for a, b in at)
+
+    for i, x, y in [(1, 0.0007, -0.0004), (2, 0.0407, -0.0004), (3, 0.02, 0.03)]:
+        assert got[i] == pytest.approx(min(away(x, y, [(0, 0), (0.02, 0.03), (0.04, 0)]), away(x, y, [(0, 0), (0.04, 0)])), abs=1e-6)
+    assert {(r.u, r.v): r.n_points for r in network.interpolate_lines(spark, d).collect()} == {(1, 2): 8, (2, 1): 5}
+
+
 def test_nearest(spark):
     nodes = spark.createDataFrame([(i, float(i % 7), float(i // 7)) for i in range(49)], "osmid bigint, x double, y double")
     points = spark.createDataFrame([(1, 2.2, 3.3), (2, 100.0, 100.0), (3, None, 1.0)], "point_id bigint, x double, y double")
