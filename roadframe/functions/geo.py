@@ -72,6 +72,16 @@ def project(lon: ColumnLike, lat: ColumnLike, epsg: int) -> Column:
     if epsg in (32661, 32761):
         return _polar(_c(lon), _c(lat), epsg == 32661)
     south, zone = divmod(epsg - 32600, 100)
+    return project_utm(lon, lat, F.lit(zone), F.lit(bool(south)))
+
+
+def utm_zone(lon: ColumnLike) -> Column:
+    """Number of the UTM zone of a longitude; 180 belongs to the last one."""
+    return F.least(F.floor((_c(lon) + 180) / 6) + 1, F.lit(60)).cast("int")
+
+
+def project_utm(lon: ColumnLike, lat: ColumnLike, zone: Column, south: Column) -> Column:
+    """Struct (x, y) in metres in a UTM zone that may differ from row to row."""
     phi, lam = F.radians(_c(lat)), F.radians(_c(lon) - (zone * 6 - 183))
     e = 2 * math.sqrt(_N) / (1 + _N)
     t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
@@ -80,7 +90,7 @@ def project(lon: ColumnLike, lat: ColumnLike, epsg: int) -> Column:
     for j, a in enumerate(_ALPHA, 1):
         x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return F.struct((500_000.0 + _K0 * _RECT * x).alias("x"), ((10_000_000.0 if south else 0.0) + _K0 * _RECT * y).alias("y"))
+    return F.struct((500_000.0 + _K0 * _RECT * x).alias("x"), (F.when(south, 10_000_000.0).otherwise(0.0) + _K0 * _RECT * y).alias("y"))
 
 
 def _polar(lon: Column, lat: Column, north: bool) -> Column:

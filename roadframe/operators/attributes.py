@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadframe.functions.geo import bearing, project
+from roadframe.functions.geo import bearing, project, project_utm, utm_zone
 from roadframe.functions.maxspeed import clean_maxspeed
 from roadframe.model import StreetGraph, ValidationError
 from roadframe.operators.build import with_endpoints
@@ -83,6 +83,15 @@ def project_nodes(nodes: DataFrame, epsg: int) -> DataFrame:
     return nodes.withColumn("_xy", xy).withColumn("x", F.col("_xy.x")).withColumn("y", F.col("_xy.y")).drop("_xy")
 
 
+def project_nodes_by_zone(nodes: DataFrame) -> DataFrame:
+    """Nodes in the UTM zone of their own longitude and hemisphere, named by ``epsg``; all three null beyond 84 north and 80 south."""
+    fits = F.col("y").between(-80, 84)
+    zone, south = utm_zone(F.col("x")), F.col("y") < 0
+    rows = nodes.withColumn("_xy", F.when(fits, project_utm(F.col("x"), F.col("y"), zone, south)))
+    rows = rows.withColumn("epsg", F.when(fits, F.when(south, 32700).otherwise(32600) + zone))
+    return rows.withColumn("x", F.col("_xy.x")).withColumn("y", F.col("_xy.y")).drop("_xy")
+
+
 def project_graph(graph: StreetGraph, epsg: int | None = None) -> StreetGraph:
     """Nodes, and edge geometry where present, in the given system or in the UTM zone of the centre of all nodes."""
     from roadframe.functions.geo import utm_epsg

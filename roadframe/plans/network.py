@@ -197,6 +197,20 @@ def utm_project(spark: SparkSession, d: str) -> DataFrame:
     return attributes.project_nodes(zone, 32631).select("osmid", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+def _own_zone_sql() -> str:
+    # the SQL of one zone, given the zone and the hemisphere of each node
+    one = _utm_sql(32601).replace("radians(x - (-177))", "radians(x - (zone * 6 - 183))").replace("x BETWEEN -180 AND -174 AND ", "")
+    one = one.replace("q AS (SELECT osmid,", "z AS (SELECT *, least(floor((x + 180) / 6)::INTEGER + 1, 60) zone FROM gn), q AS (SELECT osmid, CASE WHEN y < 0 THEN 32700 ELSE 32600 END + zone epsg,").replace("FROM gn WHERE", "FROM z WHERE")
+    one = one.replace("SELECT osmid, lam,", "SELECT osmid, epsg, lam,").replace("SELECT osmid, atan2", "SELECT osmid, epsg, atan2").replace("SELECT osmid, round(", "SELECT osmid, epsg, round(").replace("round(0.0 + ", "round(CASE WHEN epsg > 32700 THEN 10000000.0 ELSE 0.0 END + ")
+    head, tail = one.rsplit("SELECT osmid, epsg, round(", 1)
+    return f"{head}, pr AS (SELECT osmid, epsg, round({tail}) SELECT osmid, epsg, pr.x, pr.y FROM gn LEFT JOIN pr USING (osmid)"
+
+
+@query(G + _own_zone_sql())
+def utm_project_all(spark: SparkSession, d: str) -> DataFrame:
+    return attributes.project_nodes_by_zone(nodes(spark, d)).select("osmid", "epsg", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query(G + f""" SELECT osmid, round(x - {__import__('math').degrees(500 / 6371009)!r} / cos(radians(y)), 9) "left", round(y - {__import__('math').degrees(500 / 6371009)!r}, 9) bottom,
     round(x + {__import__('math').degrees(500 / 6371009)!r} / cos(radians(y)), 9) "right", round(y + {__import__('math').degrees(500 / 6371009)!r}, 9) top FROM gn""")
 def bbox_from_point(spark: SparkSession, d: str) -> DataFrame:

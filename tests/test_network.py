@@ -29,6 +29,18 @@ def test_scalars(spark):
     assert geo.utm_epsg(3, 10) == 32631 and geo.utm_epsg(3, -10) == 32731 and geo.utm_epsg(0, 85) == 32661
 
 
+def test_own_zone(spark, tmp_path):
+    spots = {1: (3.0, 0.0), 2: (-179.5, 10.0), 3: (180.0, 45.0), 4: (100.0, -33.0), 5: (6.0, 50.0), 6: (20.0, 85.0), 7: (20.0, -81.0)}
+    d = write_graph(spark, tmp_path, [(i, *p) for i, p in spots.items()], [(1, 2, 0, 1.0, None)])
+    got = {r.osmid: r for r in network.utm_project_all(spark, d).collect()}
+    assert {i: r.epsg for i, r in got.items()} == {1: 32631, 2: 32601, 3: 32660, 4: 32747, 5: 32632, 6: None, 7: None}
+    assert (got[1].x, got[1].y) == pytest.approx((500000, 0)) and got[6].x is None and got[7].y is None
+    for i in (2, 3, 4, 5):
+        xy = value(spark, geo.project(*spots[i], geo.utm_epsg(*spots[i])))
+        assert (got[i].x, got[i].y) == pytest.approx((xy.x, xy.y), abs=1e-3)
+    assert 6.3e6 < got[4].y < 6.4e6  # the south counts from 10,000 km
+
+
 def test_maxspeed(spark):
     cases = {"5": 5, "5 mph": 8.0467, "100,2": 100.2, "100 km/h": 100, "100 mph": 160.934, "60|100": 80, "60|100 mph": 128.7472, "signal": None, "100;70": None, "FR:urban": 50}
     for text, kph in cases.items():
