@@ -577,6 +577,13 @@ def polygon_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "areas").select("area_id", osm.polygon_text(ring).alias("place"))
 
 
+@query("""SELECT area_id, part::INTEGER part, array_to_string(list_transform(rings[1], lambda p: format('{:.6f} {:.6f}', p.y, p.x)), ' ') AS place
+    FROM (SELECT area_id, unnest(polygons) rings, unnest(range(1, len(polygons) + 1)) part FROM areas)""")
+def polygon_part_texts(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "areas").select("area_id", F.posexplode("polygons").alias("pos", "rings"))
+    return parts.select("area_id", (F.col("pos") + 1).alias("part"), osm.polygon_text(F.element_at("rings", 1)).alias("place"))
+
+
 @query("""SELECT query, place FROM (SELECT c_mktsegment query, c_name place, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC NULLS LAST, c_custkey) r FROM customer) WHERE r = 2""")
 def geocode_rank(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("query"), F.col("c_custkey").alias("ord"), F.col("c_acctbal").alias("importance"), F.lit("Polygon").alias("geom_type"), F.col("c_name").alias("place"))

@@ -200,6 +200,14 @@ def test_nearest(spark):
     assert got == {1: 23, 2: 48, 3: None}
 
 
+def test_text_of_every_part(spark, tmp_path):
+    box = lambda a, b: [{"x": float(x), "y": float(y)} for x, y in ((a, a), (b, a), (b, b), (a, a))]
+    rows = spark.createDataFrame([(1, [[box(0, 9), box(1, 2)], [box(20, 21)]]), (2, [[box(3, 4)]])], "area_id int, polygons array<array<array<struct<x:double,y:double>>>>")
+    rows.write.parquet(f"{tmp_path}/areas.parquet")
+    got = {(r.area_id, r.part): r.place for r in network.polygon_part_texts(spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 1), (1, 2), (2, 1)} and got[1, 2].startswith("20.000000 20.000000 20.000000 21.000000 ") and "2.000000 2.000000" not in got[1, 1]
+
+
 def test_island_in_hole():
     box = lambda a, b: [(a, a), (b, a), (b, b), (a, b), (a, a)]
     parts = assemble_multipolygon([box(0, 10), box(4, 6)], [box(2, 8)])
