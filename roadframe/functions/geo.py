@@ -106,14 +106,22 @@ def _polar(lon: Column, lat: Column, north: bool) -> Column:
 def inside_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     """Whether a point lies in or on a closed ring of constants: boundary included."""
     pts = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-    crossings, on_side = F.lit(0), F.lit(False)
+    crossings = F.lit(0)
     for (x1, y1), (x2, y2) in zip(pts[:-1], pts[1:]):
         if y1 != y2:
             at = F.lit(x1) + (y - y1) / (y2 - y1) * (x2 - x1)
             crossings = crossings + F.when(((F.lit(y1) <= y) != (F.lit(y2) <= y)) & (at > x), 1).otherwise(0)
+    return on_ring(x, y, pts) | (crossings % 2 == 1)
+
+
+def on_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
+    """Whether a point lies on a side of a closed ring of constants."""
+    pts = ring if ring[0] == ring[-1] else [*ring, ring[0]]
+    on_side = F.lit(False)
+    for (x1, y1), (x2, y2) in zip(pts[:-1], pts[1:]):
         cross = (x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)
         on_side = on_side | ((cross == 0) & x.between(min(x1, x2), max(x1, x2)) & y.between(min(y1, y2), max(y1, y2)))
-    return on_side | (crossings % 2 == 1)
+    return on_side
 
 
 def inside_polygon(x: Column, y: Column, polygon: list[list[tuple[float, float]]]) -> Column:

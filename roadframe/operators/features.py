@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadframe.functions.geo import inside_polygon
+from roadframe.functions.geo import inside_polygon, on_ring
 from roadframe.operators.filters import tag_predicate
 from roadframe.sources.tables import current_elements
 
@@ -114,9 +115,44 @@ def multipolygon_wkt(parts: list) -> str | None:
     return f"POLYGON {bodies[0]}" if len(bodies) == 1 else "MULTIPOLYGON (" + ", ".join(bodies) + ")"
 
 
-def relation_geometry(relations: DataFrame, ways: DataFrame) -> DataFrame:
+def _sides(paths: list[list[tuple[float, float]]]) -> np.ndarray:
+    """Sides (x1, y1, x2, y2) of lines and rings; a lone point is a side of no length."""
+    parts = [np.hstack((a[:-1], a[1:]) if len(a) > 1 else (a, a)) for a in (np.array(p, float) for p in paths)]
+    return np.vstack(parts)
+
+
+def _meet(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether any side of ``a`` meets any side of ``b``; touching counts."""
+    boxed = lambda s: (np.minimum(s[:, 0], s[:, 2]), np.minimum(s[:, 1], s[:, 3]), np.maximum(s[:, 0], s[:, 2]), np.maximum(s[:, 1], s[:, 3]))
+    turn = lambda s, x, y: (s[:, 2] - s[:, 0]) * (y - s[:, 1]) - (s[:, 3] - s[:, 1]) * (x - s[:, 0])
+    low_x, low_y, high_x, high_y = boxed(b)
+    for side, x0, y0, x1, y1 in zip(a, *boxed(a)):
+        s = b[(low_x <= x1) & (high_x >= x0) & (low_y <= y1) & (high_y >= y0)]
+        one = side[None].repeat(len(s), 0)
+        if len(s) and (((np.sign(turn(s, side[0], side[1])) * np.sign(turn(s, side[2], side[3]))) <= 0)
+                       & ((np.sign(turn(one, s[:, 0], s[:, 1])) * np.sign(turn(one, s[:, 2], s[:, 3]))) <= 0)).any():
+            return True
+    return False
+
+
+def _odd(x: float, y: float, sides: np.ndarray) -> bool:
+    x1, y1, x2, y2 = sides[(sides[:, 1] <= y) != (sides[:, 3] <= y)].T
+    return bool((x1 + (y - y1) / (y2 - y1) * (x2 - x1) > x).sum() % 2)
+
+
+def meets_polygon(paths: list[list[tuple[float, float]]], area: bool, polygon: list[list[tuple[float, float]]]) -> bool:
+    """Whether lines, or the rings of an area, share a point with a polygon (shell first, then holes; borders belong to both)."""
+    mine, other = _sides(paths), _sides([r if r[0] == r[-1] else [*r, r[0]] for r in polygon])
+    if _meet(mine, other):
+        return True
+    # no sides meet: each path lies wholly on one side of the polygon's border, and the shell wholly on one side of the area's
+    return any(_odd(*p[0], other) for p in paths) or (area and _odd(*polygon[0][0], mine))
+
+
+def relation_geometry(relations: DataFrame, ways: DataFrame, polygon: list[list[tuple[float, float]]] | None = None) -> DataFrame:
     """``(id, wkt, parts, holes)`` of boundary and multipolygon relations; a missing member way leaves the geometry null.
 
+    With a ``polygon`` also ``meets``: whether the geometry shares a point with it.
     ``relations`` has ``(id, members, tags)``, ``ways`` has ``(id, points)``. A role that is null or empty counts as outer.
     """
     wanted = relations.where(F.col("tags")["type"].isin(*RELATION_TYPES))
@@ -131,9 +167,10 @@ def relation_geometry(relations: DataFrame, ways: DataFrame) -> DataFrame:
             inner = [line(p) for p, r in zip(pdf["points"], pdf["role"]) if r == "inner"]
             parts = assemble_multipolygon([line(p) for p, r in zip(pdf["points"], pdf["role"]) if r != "inner"], inner)
             wkt = multipolygon_wkt(parts)
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "wkt": [wkt], "parts": [len(parts)], "holes": [sum(len(p) - 1 for p in parts)]})
+        out = pd.DataFrame({"id": [pdf["id"].iloc[0]], "wkt": [wkt], "parts": [len(parts)], "holes": [sum(len(p) - 1 for p in parts)]})
+        return out if polygon is None else out.assign(meets=bool(parts) and meets_polygon([r for p in parts for r in p], True, polygon))
 
-    return rows.groupBy("id").applyInPandas(build, "id bigint, wkt string, parts int, holes int")
+    return rows.groupBy("id").applyInPandas(build, "id bigint, wkt string, parts int, holes int" + (", meets boolean" if polygon is not None else ""))
 
 
 def current_features(elements: DataFrame, query: dict[str, bool | str | list[str]]) -> DataFrame:
@@ -147,6 +184,33 @@ def features_in_polygon(points: DataFrame, polygon: list[list[tuple[float, float
     return points.where(inside_polygon(F.col("x"), F.col("y"), polygon) & tag_predicate(query))
 
 
+def features_meeting_polygon(points: DataFrame, ways: DataFrame, relations: DataFrame, polygon: list[list[tuple[float, float]]],
+                             query: dict[str, bool | str | list[str]]) -> DataFrame:
+    """``(element, id, tags)`` of nodes, ways and relations that fit the query and whose geometry shares a point with a polygon.
+
+    ``points`` has ``(id, x, y, tags)``, ``ways`` is ``way_geometry``'s result with all member ways, ``relations`` has ``(id, members, tags)``.
+    Features without geometry are left out.
+    """
+    within = inside_polygon(F.col("x"), F.col("y"), polygon)
+    for hole in polygon[1:]:
+        within = within | on_ring(F.col("x"), F.col("y"), hole)
+    nodes = points.where(within & tag_predicate(query)).select(F.lit("node").alias("element"), "id", "tags")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            met = [meets_polygon([[(q["x"], q["y"]) for q in p]], kind == "Polygon", polygon) for p, kind in zip(batch["points"], batch["kind"])]
+            yield batch.loc[met, ["id"]]
+
+    xs, ys = [p[0] for p in polygon[0]], [p[1] for p in polygon[0]]
+    axis = lambda c: F.transform("points", lambda p: p[c])
+    boxed = (F.array_min(axis("x")) <= max(xs)) & (F.array_max(axis("x")) >= min(xs)) & (F.array_min(axis("y")) <= max(ys)) & (F.array_max(axis("y")) >= min(ys))
+    tagged = ways.where(F.col("points").isNotNull() & tag_predicate(query))
+    lines = tagged.join(tagged.where(boxed).select("id", "kind", "points").mapInPandas(run, "id bigint"), "id", "left_semi")
+    wanted = relations.where(tag_predicate(query))
+    areas = wanted.join(relation_geometry(wanted, ways, polygon).where("meets"), "id", "left_semi")
+    return nodes.unionByName(lines.select(F.lit("way").alias("element"), "id", "tags")).unionByName(areas.select(F.lit("relation").alias("element"), "id", "tags"))
+
+
 def first_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(*keys).orderBy(order)

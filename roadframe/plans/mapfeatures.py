@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from roadframe.operators import build, features
 from roadframe.plans.base import CURRENT_SQL, haversine
-from roadframe.session import shared_dir
+from roadframe.session import materialize, shared_dir
 from roadframe.sources.tables import current_elements, table
 from roadframe.streaming.snap import windowed_counts
 
@@ -55,6 +55,17 @@ def features_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     return features.features_in_polygon(points, _SHAPE, {"amenity": True}).select("id")
 
 
+@query()
+def features_from_polygon(spark: SparkSession, d: str) -> DataFrame:
+    elements = table(spark, d, "elements")
+    rows = current_elements(elements.where(F.col("type") == "node"), "lat", "lon", "tags").where("visible AND lat IS NOT NULL AND lon IS NOT NULL")
+    points = rows.select("id", F.col("lon").alias("x"), F.col("lat").alias("y"), "tags")
+    relations = current_elements(elements.where(F.col("type") == "relation"), "members", "tags").where("visible")
+    ways = materialize(_ways(spark, d), "ways")
+    query = {"amenity": True, "building": True, "landuse": True, "highway": True}
+    return features.features_meeting_polygon(points, ways, relations, _SHAPE, query).select("element", "id")
+
+
 @query("""SELECT type element, id, extract_id FROM (SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY ingested_at, version, extract_id) rn,
     rank() OVER (PARTITION BY type, id ORDER BY ingested_at, version, extract_id) FROM elements) WHERE rn = 1""")
 def features_first_seen(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from roadframe.functions import geo
 from roadframe.functions.maxspeed import clean_maxspeed, collapse_maxspeeds
 from roadframe.model import GraphSimplificationError, StreetGraph
-from roadframe.operators import convert, nearest, paths, simplify, stats
+from roadframe.operators import convert, features, nearest, paths, simplify, stats
 from roadframe.operators.features import assemble_multipolygon, multipolygon_wkt
 from roadframe.operators.filters import parse_clauses
 from roadframe.plans import network
@@ -216,6 +216,21 @@ def test_island_in_hole():
     assert len(assemble_multipolygon(list(half), [])) == 1
 
 
+def test_features_meet_polygon(spark):
+    shape = [[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)], [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0), (4.0, 4.0)]]
+    box = lambda a, b: [(a, a), (b, a), (b, b), (a, b), (a, a)]
+    lines = {1: [(-5, 5), (-1, 5)], 2: [(-5, 5), (20, 5)], 3: [(1, 1), (2, 2)], 4: [(4.5, 5), (5.5, 5)], 5: [(10, 3), (12, 3)], 6: [(-1, 9), (1, 11.5)], 7: [(-1, 9), (1, 10.5)], 8: box(-1, 11), 9: box(-1, 11), 10: box(4.2, 5.8), 11: box(20, 30), 12: box(-2, 12), 13: box(-1.5, 11.5)}
+    areas, pts = {9, 10, 11}, "array<struct<x:double,y:double>>"
+    rows = [(i, {} if i in (12, 13) else {"building": "yes"}, "Polygon" if i in areas else "LineString", [(float(x), float(y)) for x, y in p]) for i, p in lines.items()]
+    ways = spark.createDataFrame(rows, f"id bigint, tags map<string,string>, kind string, points {pts}")
+    made = lambda i, *refs, **tags: (i, [("way", r, role) for r, role in refs], {"type": "multipolygon", **tags})
+    rels = [made(1, (12, "outer"), landuse="x"), made(2, (12, "outer"), (13, "inner"), landuse="x"), made(3, (11, "outer"), landuse="x"), made(4, (12, "outer")), made(5, (99, "outer"), landuse="x")]
+    relations = spark.createDataFrame(rels, "id bigint, members array<struct<type:string,ref:bigint,role:string>>, tags map<string,string>")
+    points = spark.createDataFrame([(1, 1.0, 1.0, {"building": "a"}), (2, 5.0, 5.0, {"building": "a"}), (3, 4.0, 5.0, {"building": "a"}), (4, 1.0, 1.0, {"shop": "a"})], "id bigint, x double, y double, tags map<string,string>")
+    got = features.features_meeting_polygon(points, ways, relations, shape, {"building": True, "landuse": True}).collect()
+    assert {(r.element, r.id) for r in got} == {("node", 1), ("node", 3), ("way", 2), ("way", 3), ("way", 5), ("way", 7), ("way", 9), ("relation", 1)}
+
+
 def test_chain_nodes():
     assert chain_nodes([(2, 3), (1, 2), (3, 4)]) == [1, 2, 3, 4]
     assert chain_nodes([(1, 2), (2, 3), (3, 1)]) == [1, 2, 3, 1]
