@@ -95,10 +95,11 @@ def nearest_edges(edges: DataFrame, points: DataFrame, cell: float = 0.002) -> D
         span = lambda a, b: F.sequence(F.floor(F.least(a, b) / F.col("size")), F.floor(F.greatest(a, b) / F.col("size")))
         keyed = sized.withColumn("i", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("j", F.explode(span(F.col("ay"), F.col("by"))))
         levels = [r["level"] for r in sized.select("level").distinct().collect()]  # levels of powers of four: a dozen at most
-        near = lambda q: F.sequence(F.floor(q / F.col("size")) - 1, F.floor(q / F.col("size")) + 1)
+        # a point settles within one cell, so it looks that far on every level: coarse levels need one cell or two
+        near = lambda q: F.sequence(F.floor((q - cell) / F.col("size")), F.floor((q + cell) / F.col("size")))
         probes = open_.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("size", F.pow(F.lit(4.0), "level") * cell).drop("level")
         probes = probes.withColumn("i", F.explode(near(F.col("qx")))).withColumn("j", F.explode(near(F.col("qy"))))
-        best = probes.join(keyed, ["size", "i", "j"]).groupBy("point_id").agg(F.min(F.struct(dist.alias("dist"), "u", "v", "key")).alias("b"))
+        best = probes.join(keyed, ["size", "i", "j"]).where(dist <= cell).groupBy("point_id").agg(F.min(F.struct(dist.alias("dist"), "u", "v", "key")).alias("b"))
         found = materialize(open_.join(best, "point_id", "left").select(*open_.columns, "b.dist", "b.u", "b.v", "b.key"), "found")
         settled = F.coalesce(F.col("dist") <= cell, F.lit(False))
         done.append(found.where(settled).select("point_id", "u", "v", "key", "dist"))
