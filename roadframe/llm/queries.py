@@ -32,11 +32,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.lookalike_pairs(table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Look-alikes as one row per document: its class, its variant and its number of links."""
+    return canonical.lookalike_classes(table(spark, d, "documents"))
+
+
 def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_documents(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p8_ids, p9_containers, p9_report, p10_found, p10_canonical)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p8_ids, p9_containers, p9_report, p10_found, p10_classes, p10_canonical)}
 
 SQL: dict[str, str] = {
     "p4_found": """WITH RECURSIVE links AS (

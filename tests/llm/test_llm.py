@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from roadframe.llm.canonical import canonical_text, lookalike_pairs
+from roadframe.llm import canonical
+from roadframe.llm.canonical import canonical_text, compile_mapping, lookalike_classes, lookalike_pairs, lookalikes
 from roadframe.llm.groups import connected_groups
 from roadframe.llm.packing import pack, packing_report, plan_patterns
 from roadframe.llm.tokenize import PATTERN, BytePairEncoder, count_tokens, encode_documents, read_vocabulary
@@ -92,13 +93,14 @@ def test_pack(spark):
 @pytest.mark.parametrize("a, b", [
     ("Hello", "Ｈｅｌｌｏ"), ("Hello", "Неllо"), ("fin", "ﬁn"), ("é", "é"), ("a b", "a b"), ("a b", "a b"),
     ("ab", "a​b"), ("ab", "a­b﻿"), ("ü", "u​̈"), ("ガ", "ｶﾞ"), ("강", "강"), ("old", "oⅼⅾ"),
-    ("a!", "aǃ"), ("x;", "x;"), ("ó", "ό"), ("a\nb", "a\r\nb"), ("\U0001f3dd️", "\U0001f3dd­️")])
+    ("a!", "aǃ"), ("I", "\u04c0"), ("y", "\u04af"), ("Y", "\u04ae"), ("oO", "\u0585\u0555"), ("hn", "\u0570\u0578"), ("cj", "\u03f2\u03f3"), ("A", "\u13aa"),
+    ("ab", "a\u3164\u115f\u180b\U000e0061b"), ("a\nb", "a\r\u200b\nb"), ("\U0001f469\u200d\U0001f33e\U0001f4cd", "\U0001f469\u200d\U0001f33e\u200d\U0001f4cd"), ("DŽ", "Ǆ"), ("x;", "x;"), ("ó", "ό"), ("a\nb", "a\r\nb"), ("\U0001f3dd️", "\U0001f3dd­️")])
 def test_alike(a, b):
     assert canonical_text(a) == canonical_text(b) and canonical_text(canonical_text(b)) == canonical_text(b)
 
 
 @pytest.mark.parametrize("a, b", [("m²", "m2"), ("e", "é"), ("ß", "ss"), ("\U0001f469‍\U0001f33e", "\U0001f469\U0001f33e"), ("a-b", "a–b"), ("A", "a"),
-                                  ("1", "l"), ("и", "й"), ("ab", "a b")])
+                                  ("1", "l"), ("и", "й"), ("α", "a"), ("г", "r"), ("ı", "i"), ("я", "R"), ("0", "O"), ("ab", "a b")])
 def test_different(a, b):
     assert canonical_text(a) != canonical_text(b)
 
@@ -109,3 +111,32 @@ def test_pairs(spark):
     df = spark.createDataFrame(rows, DOCS)
     assert {tuple(r) for r in lookalike_pairs(df).collect()} == {(1, 2), (2, 3), (5, 6), (8, 9)}
     assert lookalike_pairs(df.limit(0)).count() == 0
+    got = {r.doc_id: (r.class_id, r.variant_id, r.n_links) for r in lookalike_classes(df).collect()}
+    assert got == {1: (1, 1, 1), 2: (1, 2, 2), 3: (1, 1, 1), 5: (5, 5, 1), 6: (5, 6, 1), 8: (8, 8, 1), 9: (8, 9, 1)}
+    assert lookalike_classes(df.limit(0)).count() == 0
+
+
+def test_conflicting_tables_are_refused():
+    good = lookalikes()
+    for bad in ({**good, "я": "R"}, {**good, "б": "b"}, {**good, "x": "y"}, {**good, "²": "2"}, {**good, "٣": "E"}):
+        with pytest.raises(ValueError):
+            compile_mapping(bad)
+    with pytest.raises(ValueError):
+        compile_mapping(good, {"ß": "ss"})
+    mapping = compile_mapping(good)
+    assert not [c for c in mapping if c.isascii()] and mapping["\u04c0"] == "I" and "²" not in mapping and "я" not in mapping
+
+
+def test_noise_is_removed():
+    """Hidden characters at any place, other blanks, look-alikes and split accents never change the form."""
+    rng = random.Random(11)
+    text = "Zażółć gęślą\r\njaźń, ガギ 한국 μετά το ё \U0001f3dd\ufe0f\U0001f469\u200d\U0001f33e\nThe quick brown fox: 42 m²"
+    back = {}
+    for char, letter in lookalikes().items():
+        back.setdefault(letter, []).append(char)
+    for _ in range(300):
+        noisy = canonical.unicodedata.normalize(rng.choice(["NFC", "NFD"]), text)
+        noisy = "".join(rng.choice(back[c]) if c in back and rng.random() < 0.2 else c for c in noisy)
+        noisy = "".join(rng.choice(canonical.BLANKS) if c == " " and rng.random() < 0.3 else c for c in noisy)
+        noisy = "".join(c + (rng.choice("\u200b\u200c\u200d\u2060\u00ad\ufeff\u200e") if rng.random() < 0.2 else "") for c in noisy)
+        assert canonical_text(noisy) == canonical_text(text)
