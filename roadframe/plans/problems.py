@@ -37,6 +37,14 @@ def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
                                                F.countDistinct("response_id", "el_ord").alias("parents"))
 
 
+def _nested(kind: str) -> Query:
+    return lambda spark, d: nested.nested_table(table(spark, d, "overpass_raw"), kind)
+
+
+def _element(kind: str) -> Query:
+    return lambda spark, d: nested.element_table(table(spark, d, "elements"), kind)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return units.foreign_speeds(table(spark, d, "edges"), table(spark, d, "extracts"))
 
@@ -61,6 +69,7 @@ def p7_imputed(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_kinds, p5_found, p5_units,
                                                      p6_found, p7_found, p7_imputed)}
+QUERIES |= {f"p3_{kind}s": _nested(kind) for kind in nested.SUBTYPES} | {f"p3_element_{kind}s": _element(kind) for kind in ("tag", "node", "member")}
 
 _CURRENT = """
 cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY version DESC NULLS LAST, ingested_at DESC NULLS LAST) rn,
@@ -94,5 +103,11 @@ SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT src_type, src_id, ref_type, ref_id, reason, period FROM judged WHERE reason IS NOT NULL",
     "p1_report": _P1 + """SELECT src_type, ref_type, reason, period, count(*) n_refs, count(DISTINCT src_id) n_sources
         FROM judged WHERE reason IS NOT NULL GROUP BY ALL""",
+    "p3_element_tags": """SELECT el_type, el_id, version, extract_id, e.key tag_key, e.value tag_value FROM
+        (SELECT type el_type, id el_id, version, extract_id, unnest(map_entries(tags)) e FROM elements) WHERE e.value IS NOT NULL""",
+    "p3_element_nodes": """SELECT el_type, el_id, version, extract_id, pos::INTEGER pos, ref FROM
+        (SELECT type el_type, id el_id, version, extract_id, unnest(nodes) AS ref, unnest(range(1, len(nodes) + 1)) pos FROM elements WHERE type = 'way') WHERE ref IS NOT NULL""",
+    "p3_element_members": """SELECT el_type, el_id, version, extract_id, pos::INTEGER pos, coalesce(m.type, '') ref_type, m.ref AS ref, coalesce(m.role, '') AS role FROM
+        (SELECT type el_type, id el_id, version, extract_id, unnest(members) m, unnest(range(1, len(members) + 1)) pos FROM elements WHERE type = 'relation') WHERE m.ref IS NOT NULL""",
     "p6_found": _P6,
 }

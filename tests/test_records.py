@@ -1,7 +1,8 @@
 import json
 from datetime import datetime
 
-from roadframe.operators.nested import nested_found, nested_tables
+from roadframe.operators import nested
+from roadframe.operators.nested import element_table, nested_found, nested_tables
 from roadframe.operators.proximity import near_pairs, points_in_areas
 from roadframe.operators.references import orphan_references, orphan_report
 
@@ -49,7 +50,40 @@ def test_nested(spark):
     assert {x[1:] for x in got if x[0] == 3} == one and len(got) == len(set(got))
     assert {x[1:] for x in got if x[0] == 2} == {("node", 3, "tag", 0, 0, "k=v"), ("way", 4, "node", 1, 0, "3"), ("relation", 6, "member", 1, 0, "way/4/"), ("relation", 6, "point", 1, 1, "")}
     assert {x[0] for x in got} == {1, 2, 3}
-    assert nested_tables(raw)["member"].where("role = 'r'").count() == 3
+    tables = nested_tables(raw)
+    assert tables["member"].where("role = 'r'").count() == 3 and {r.lon for r in tables["point"].where("response_id = 1").collect()} == {2.0, 3.0}
+    assert {(r.tag_key, r.tag_value) for r in tables["tag"].where("el_id = 5").collect()} == {("a", "1"), ("addr:street", "x"), ("addr:n:m", "y")}
+
+
+def test_states_come_from_the_children():
+    automaton = nested.TreeAutomaton()
+    state = lambda text: automaton.read(text).state
+    assert state('{"id": 1, "type": "way"}') & nested.WAY and state('{"id": "x", "type": "count"}') & nested.FOREIGN
+    assert state('{"a": [{"b": {"id": 1, "type": "node"}}]}') & nested.HOLDER and not state('{"a": [{"b": {"id": 1}}]}') & nested.HOLDER
+    assert state('{"way": [{"@id": 1}]}') & nested.HOLDER  # the key gives the type that the object lacks
+    assert state('{"ref": "7"}') & nested.REF and not state('{"ref": "seven"}') & nested.REF
+    assert state('{"type": "way", "ref": 7, "geometry": [null, {"lat": 1, "lon": 2}]}') & nested.TRACK
+    assert state('{"a": {"b": [1, "x"]}}') & nested.TAG_MAP and not state('{"a": [{"b": 1}]}') & nested.TAG_MAP
+    before = len(automaton.table)
+    for i in range(1000):  # open key sets add no transitions
+        automaton.read(json.dumps({f"key{i}": "v", f"other{i}": "w"}))
+    assert len(automaton.table) <= before + 1
+
+
+def test_nested_corners(spark):
+    plain = json.dumps({"elements": [{"type": "node", "id": 1, "tags": {"a=b": "c=d", "k": "x", "v": "y"}}, {"type": "node", "id": 2, "tags": [{"k": "p", "v": "q"}]},
+                                     {"type": "count", "id": 3, "tags": {"n": "1"}}, {"type": "way", "id": 1.5, "nodes": [1]}, {"type": "way", "id": 4, "nodes": ["1_0", 2.0, True]}]})
+    wrapped = plain
+    for _ in range(9):
+        wrapped = json.dumps(wrapped)
+    raw = spark.createDataFrame([(1, plain, "x"), (2, wrapped, "x")], "response_id bigint, body string, kind string")
+    tags = nested_tables(raw)["tag"].collect()
+    for response in (1, 2):
+        assert {(r.el_id, r.tag_key, r.tag_value) for r in tags if r.response_id == response} == {(1, "a=b", "c=d"), (1, "k", "x"), (1, "v", "y"), (2, "p", "q")}
+    assert {(r.el_id, r.pos, r.item) for r in nested_found(raw).where("kind = 'node' AND response_id = 2").collect()} == {(4, 2, "2")}
+    rows = spark.createDataFrame([element("way", 5, nodes=[7, None, 8]), element("relation", 6, members=[("way", 5, None), (None, None, "x")])], ELEMENTS)
+    assert [(r.pos, r.ref) for r in element_table(rows, "node").collect()] == [(1, 7), (3, 8)]
+    assert [tuple(r)[4:] for r in element_table(rows, "member").collect()] == [(1, "way", 5, "")] and element_table(rows, "tag").count() == 0
 
 
 def test_near_pairs_everywhere(spark):
