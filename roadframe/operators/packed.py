@@ -3,8 +3,9 @@
 The splitter works on the bytes of a whole Arrow string column at once: masks of
 quotes, brackets and delimiters, quote parity by prefix sums, child offsets from
 the delimiter positions, a list array from those, and a flatten with parent
-ordinals. No Python runs per value, except for the rare rows that mix both quote
-characters.
+ordinals. Rows that mix both quote characters go through a scan of composed state
+changes, also over whole columns. Python runs per value only for rows with a
+bracket nested in an outer bracket of its own kind, whose match must be found.
 
 Defined cases: null, blank and no-value texts have no members; empty members do
 not count; repeated members stay in place; an unbalanced quote or round bracket
@@ -61,32 +62,57 @@ MAXSPEED = Packing(numbers=True, real=("none",))
 FIELDS = {"osmid": OSMID, "highway": HIGHWAY, "maxspeed": MAXSPEED}
 
 
+_BRACKETS = ("[]", "{}", "()")
+_QUOTED = re.compile(r"""(?<!\w)"[^"]*"(?!\w)|(?<!\w)'[^']*'(?!\w)""")
+
+
 def _strip_outer(arr: pa.Array) -> pa.Array:
-    """Blanks and matching outer brackets removed, up to four levels."""
-    for _ in range(4):
+    """Blanks and matching outer brackets removed, however many levels there are."""
+    while True:  # each round takes a level off every row; without brackets nested in their own kind there are three at most
         arr = pc.utf8_trim_whitespace(arr)
-        whole = pc.or_(pc.match_substring_regex(arr, r"(?s)^\[.*\]$"), pc.match_substring_regex(arr, r"(?s)^\{.*\}$"))
-        round_ = pc.match_substring_regex(arr, r"(?s)^\(.*\)$")
-        if pc.any(round_).as_py():
-            plain = pc.match_substring_regex(arr, r"(?s)^\([^()]*\)$")
-            nested = np.flatnonzero(pc.and_not(round_, plain).to_numpy(zero_copy_only=False))
-            ok = np.array(plain.to_numpy(zero_copy_only=False), bool)
-            for i in nested:
-                ok[i] = _first_closes_last(arr[int(i)].as_py())
-            whole = pc.or_(whole, pa.array(ok))
-        if not pc.any(whole).as_py():
+        whole = tangled = None
+        for a, b in _BRACKETS:
+            outer = pc.and_(pc.and_(pc.starts_with(arr, a), pc.ends_with(arr, b)), pc.greater_equal(pc.binary_length(arr), 2))
+            plain = pc.match_substring_regex(arr, rf"(?s)^\{a}[^\{a}\{b}]*\{b}$")
+            whole = plain if whole is None else pc.or_(whole, plain)
+            rest = pc.and_not(outer, plain)
+            tangled = rest if tangled is None else pc.or_(tangled, rest)
+        at = np.flatnonzero(tangled.to_numpy(zero_copy_only=False))
+        if len(at):
+            before = [arr[int(i)].as_py() for i in at]
+            after = [_peel(t) for t in before]
+            arr = pc.replace_with_mask(arr, tangled, pa.array(after, pa.string()))
+            whole = pc.or_(whole, pc.and_(tangled, False))
+            if before == after and not pc.any(whole).as_py():
+                return arr
+        elif not pc.any(whole).as_py():
             return arr
         arr = pc.if_else(whole, pc.utf8_slice_codeunits(arr, 1, -1), arr)
-    return pc.utf8_trim_whitespace(arr)
 
 
-def _first_closes_last(text: str) -> bool:
-    depth = 0
+def _peel(text: str) -> str:
+    """The text without the outer brackets whose match is its last character; brackets in quotes do not count."""
+    hidden = bytearray(len(text))
+    for m in _QUOTED.finditer(text):
+        hidden[m.start(): m.end()] = b"\1" * (m.end() - m.start())
+    match: dict[int, int] = {}
+    open_: dict[str, list[int]] = {a: [] for a, _ in _BRACKETS}
+    ends = {b: a for a, b in _BRACKETS}
     for i, c in enumerate(text):
-        depth += (c == "(") - (c == ")")
-        if depth == 0:
-            return i == len(text) - 1
-    return False
+        if hidden[i]:
+            continue
+        if c in open_:
+            open_[c].append(i)
+        elif c in ends and open_[ends[c]]:
+            match[open_[ends[c]].pop()] = i
+    low, high = 0, len(text) - 1
+    while low < high and match.get(low) == high:
+        low, high = low + 1, high - 1
+        while low <= high and text[low].isspace():
+            low += 1
+        while high >= low and text[high].isspace():
+            high -= 1
+    return text[low: high + 1]
 
 
 def _bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,27 +142,51 @@ def _inside_quotes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     last = np.zeros(n + 1, bool)
     last[np.maximum(offsets[1:] - 1, 0)] = True
     in_word = _WORD[before] & _WORD[after] & ~first[:n] & ~last[:n]
-    inside, kinds = np.zeros(n, bool), []
+    inside, kinds, marks = np.zeros(n, bool), [], []
     for q in _QUOTES:
         mark = (data == q) & ~in_word & (before != 0x5C)
         seen, total = _row_sums(mark, offsets)
         even = (total > 0) & (total % 2 == 0)
         kinds.append(total > 0)
+        marks.append(mark)
         inside |= np.repeat(even, lens) & ((seen + mark) % 2 == 1)
-    for row in np.flatnonzero(kinds[0] & kinds[1]):  # both characters in one row: which opens first decides
-        a, b = offsets[row], offsets[row + 1]
-        open_, start, marks = 0, 0, np.zeros(b - a, bool)
-        for i in range(a, b):
-            c = data[i]
-            if not open_ and c in _QUOTES and not in_word[i]:
-                open_, start = c, i
-            elif open_ and c == open_ and not in_word[i]:
-                marks[start - a: i - a] = True
-                open_ = 0
-        inside[a:b] = marks
+    mixed = np.repeat(kinds[0] & kinds[1], lens)
+    if mixed.any():
+        inside = np.where(mixed, _inside_mixed(marks[0] & mixed, marks[1] & mixed, offsets), inside)
     return inside
 
 
+def _inside_mixed(first: np.ndarray, second: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Quoted bytes where both characters occur: the one that opens decides, until its like closes.
+
+    Each mark is a map of the three states (outside, in the first, in the second);
+    the maps are composed by a doubling scan, and the first mark of a row forgets
+    what came before. A quote that never closes in its row is ordinary text.
+    """
+    at = np.flatnonzero(first | second)
+    row = np.searchsorted(offsets, at, side="right") - 1
+    maps = np.where(first[at][:, None], np.array([1, 0, 2]), np.array([2, 1, 0]))
+    start = np.concatenate(([True], row[1:] != row[:-1]))
+    maps[start] = maps[start, :1]
+    step = 1
+    while step < len(at):
+        maps[step:] = np.take_along_axis(maps[step:], maps[:-step].copy(), axis=1)
+        step *= 2
+    after = maps[:, 0]
+    before = np.where(start, 0, np.concatenate(([0], after[:-1])))
+    opens, closes = (before == 0) & (after != 0), (before != 0) & (after == 0)
+    last = np.concatenate((start[1:], [True]))
+    loose = np.unique(row[last & (after != 0)])
+    if len(loose):  # the last opening of these rows has no end
+        of = np.flatnonzero(opens)
+        final = np.concatenate((row[of][1:] != row[of][:-1], [True]))
+        opens[of[final & np.isin(row[of], loose)]] = False
+    change = np.zeros(len(first) + 1, np.int64)
+    change[at[opens]] += 1
+    change[at[closes]] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
 def split_packed(column: pa.Array, packing: Packing) -> pa.ListArray:
     """Members of each value, in order; null for a missing value."""
     column = column.cast(pa.string())

@@ -30,11 +30,46 @@ def test_other_fields():
     long = ";".join(str(i) for i in range(20_000))
     assert members(long, OSMID) == [str(i) for i in range(20_000)]
     assert split_packed(pa.array([], pa.string()), OSMID).to_pylist() == []
+    assert members("[[[[[[1,2]]]]]]", OSMID) == ["1", "2"] and members("{[({[(1;2)]})]}", OSMID) == ["1", "2"]
+    assert members("[" * 3000 + "7;8" + "]" * 3000, OSMID) == ["7", "8"] and members("(a); (b)", HIGHWAY) == ["(a)", "(b)"]
+    assert members("[(a), (b)]", HIGHWAY) == ["(a)", "(b)"] and members("['a]', 'b[']", HIGHWAY) == ["a]", "b["]
+    assert members("( ( a;b ) )", HIGHWAY) == ["a", "b"] and members("[]", HIGHWAY) is None and members("[", HIGHWAY) == ["["]
     # neighbours in a batch do not touch each other
     batch = ["10 mi/h", "signals", "5,", "5", "'a", "b'"]
     assert split_packed(pa.array(batch), MAXSPEED).to_pylist() == [["10 mi/h"], ["signals"], ["5"], ["5"], ["'a"], ["b'"]]
 
 
+def test_mixed_quotes_against_a_plain_reader():
+    """The scan of composed states gives what reading character by character gives, in one batch."""
+    import random
+
+    import numpy as np
+
+    from roadframe.operators import packed
+
+    def plain(text):
+        marks, opened, start = [False] * len(text), "", 0
+        word = lambda c: c.isalnum()
+        for i, c in enumerate(text):
+            if c not in "\"'" or (0 < i < len(text) - 1 and word(text[i - 1]) and word(text[i + 1])):
+                continue
+            if not opened:
+                opened, start = c, i
+            elif c == opened:
+                marks[start:i] = [True] * (i - start)
+                opened = ""
+        return marks
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab;\"' ,") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    texts = [t for t in texts if '"' in t and "'" in t]
+    data, offsets = packed._bytes(pa.array(texts))
+    got = packed._inside_quotes(data, offsets)
+    both = [(plain(t), got[a:b].tolist()) for t, a, b in zip(texts, offsets[:-1], offsets[1:])]
+    counted = [i for i, t in enumerate(texts) if all(any(c == q and not (0 < k < len(t) - 1 and t[k - 1].isalnum() and t[k + 1].isalnum()) for k, c in enumerate(t)) for q in "\"'")]
+    assert len(counted) > 1000 and all(both[i][0] == both[i][1] for i in counted) and isinstance(got, np.ndarray)
+
+
 EDGES = "ord bigint, u bigint, v bigint, key int, osmid string, highway string, maxspeed string, speed_kph double, extract_id int, item string"
 EXTRACTS = "extract_id int, extract_name string, speed_note string, channel string, published_at timestamp"
 
