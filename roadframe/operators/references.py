@@ -3,11 +3,12 @@
 A Bloom filter of all parent keys proves most orphans; only references that pass
 it meet the parents in an exact join.
 
-The filter is register-blocked: a key sets four bits of one 64-bit word, so it is
-built by one hash aggregation (``bit_or``) and probed by one broadcast join, all
-in generated code. It has at most ``MAX_WORDS`` words whatever the data's size,
-which bounds the broadcast; more keys only let more references through to the
-exact join, never the reverse.
+The filter is register-blocked: a key sets four bits of one 64-bit word, and 1,024
+words form a block, one row with an array. Its size follows the number of keys, so
+its power to prove does not fade as the data grow. Up to ``BROADCAST_WORDS`` (64
+MB, some 30 million keys) it is broadcast; a larger one stays a table of blocks
+that references meet by the number of their block, hash-partitioned like any other
+join, so no executor ever holds all of it.
 
 Defined cases: null references inside an array, and members without type or ref,
 are no references; null or empty arrays have none; a referring row without
@@ -20,41 +21,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadframe.session import materialize
-from roadframe.sources.tables import current_elements
+from roadframe.sources.tables import current_elements, current_versions
 
 BITS_PER_KEY = 16
-MAX_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 10
+BROADCAST_WORDS = 1 << 23
 
 
 def filter_words(keys: int) -> int:
-    """Number of 64-bit words for so many keys: a power of two between 1,024 and ``MAX_WORDS``."""
+    """Number of 64-bit words for so many keys: a power of two, one block at least."""
     need = max(1, keys * BITS_PER_KEY // 64)
-    return min(MAX_WORDS, max(1024, 1 << (need - 1).bit_length()))
+    return max(BLOCK_WORDS, 1 << (need - 1).bit_length())
 
 
-def _word_and_mask(hashed: Column, words: int) -> tuple[Column, Column]:
-    word = hashed.bitwiseAND(F.lit(words - 1)).cast("int")
+def _word_and_mask(columns: list[str], words: int) -> tuple[Column, Column]:
+    hashed = F.xxhash64(*columns)
     mask = F.lit(0).cast("long")
     for k in range(4):
-        bit = F.shiftrightunsigned(hashed, 24 + 6 * k).bitwiseAND(F.lit(63)).cast("int")
+        bit = F.shiftrightunsigned(hashed, 40 + 6 * k).bitwiseAND(F.lit(63)).cast("int")
         mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
-    return word, mask
+    return hashed.bitwiseAND(F.lit(words - 1)), mask
 
 
 def bloom_filter(keys: DataFrame, columns: list[str], words: int) -> DataFrame:
-    """``(_word, _bits)`` of all key rows; at most ``words`` rows."""
-    word, mask = _word_and_mask(F.xxhash64(*columns), words)
-    return keys.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(
-        F.bit_or("_mask").alias("_bits"))
+    """``(_block, _bits)`` of all key rows: ``words`` words in arrays of ``BLOCK_WORDS``."""
+    word, mask = _word_and_mask(columns, words)
+    filled = keys.select(word.alias("_word"), mask.alias("_mask"))
+    every = keys.sparkSession.range(words).select(F.col("id").alias("_word"), F.lit(0).cast("long").alias("_mask"))
+    per_word = filled.unionByName(every).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    inner = F.array_sort(F.collect_list(F.struct(F.pmod("_word", F.lit(BLOCK_WORDS)).alias("at"), "_bits")))
+    return per_word.groupBy(F.floor(F.col("_word") / BLOCK_WORDS).alias("_block")).agg(inner.alias("w")).select(
+        "_block", F.transform("w", lambda w: w["_bits"]).alias("_bits"))
 
 
 def with_membership(refs: DataFrame, columns: list[str], bloom: DataFrame, words: int) -> DataFrame:
     """Add ``_maybe``: false where the filter proves that the key was never inserted."""
-    word, mask = _word_and_mask(F.xxhash64(*columns), words)
-    probed = refs.withColumn("_word", word).withColumn("_mask", mask)
-    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
-    return probed.join(F.broadcast(bloom), "_word", "left").withColumn("_maybe", hit).drop(
-        "_word", "_mask", "_bits")
+    word, mask = _word_and_mask(columns, words)
+    probed = refs.withColumn("_word", word).withColumn("_mask", mask).withColumn("_block", F.floor(F.col("_word") / BLOCK_WORDS))
+    if words <= BROADCAST_WORDS:  # eight bytes a word: a proven bound
+        bloom = F.broadcast(bloom)
+    bits = F.get("_bits", F.pmod("_word", F.lit(BLOCK_WORDS)).cast("int"))
+    hit = F.coalesce(bits.bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+    return probed.join(bloom, "_block", "left").withColumn("_maybe", hit).drop("_word", "_mask", "_block", "_bits")
 
 
 def element_references(elements: DataFrame) -> DataFrame:
@@ -75,15 +83,18 @@ def element_references(elements: DataFrame) -> DataFrame:
 def orphan_references(elements: DataFrame) -> DataFrame:
     """``(src_type, src_id, ref_type, ref_id, reason, period)``: references that are missing, deleted or late.
 
-    The parents are written to the shared folder once, so both sides of the exact
-    join are plain shuffles and adaptive execution can split a hot parent.
+    The parents are written to the shared folder once; the filter is built from
+    them, and both sides of the exact join are plain scans, so adaptive execution
+    can split a hot parent.
     """
-    keys = elements.select(F.col("type").alias("ref_type"), F.col("id").alias("ref_id"))
-    words = filter_words(elements.count())  # answered from Parquet footers
-    bloom = bloom_filter(keys, ["ref_type", "ref_id"], words)
-    refs = materialize(with_membership(element_references(elements), ["ref_type", "ref_id"], bloom, words), "refs")
-    parents = materialize(current_elements(elements).select(
+    parents = materialize(current_versions(elements).select(
         F.col("type").alias("ref_type"), F.col("id").alias("ref_id"), "visible", "first_seen"), "parents")
+    words = filter_words(parents.count())  # answered from Parquet footers
+    bloom = materialize(bloom_filter(parents, ["ref_type", "ref_id"], words), "bloom")
+    refs = element_references(elements)
+    if words > BROADCAST_WORDS:
+        refs = materialize(refs, "listed")
+    refs = materialize(with_membership(refs, ["ref_type", "ref_id"], bloom, words), "refs")
     period = F.date_format("seen", "yyyy-MM").alias("period")
     names = ["src_type", "src_id", "ref_type", "ref_id"]
     proven = refs.where(~F.col("_maybe")).select(*names, F.lit("missing").alias("reason"), period)

@@ -1,10 +1,13 @@
 import json
 from datetime import datetime
 
-from roadframe.operators import nested
+from pyspark.sql import functions as F
+
+from roadframe.operators import nested, references
 from roadframe.operators.nested import element_table, nested_found, nested_tables
 from roadframe.operators.proximity import near_pairs, points_in_areas
 from roadframe.operators.references import orphan_references, orphan_report
+from roadframe.sources.tables import current_elements, current_versions
 
 ELEMENTS = ("type string, id bigint, version int, lat double, lon double, nodes array<bigint>, members array<struct<type:string,ref:bigint,role:string>>, "
             "tags map<string,string>, visible boolean, extract_id int, ingested_at timestamp, reason string")
@@ -106,3 +109,28 @@ def test_points_in_areas(spark):
     got = {tuple(r) for r in points_in_areas(spark.createDataFrame(points, "id bigint, lon double, lat double"), areas).collect()}
     want = {(1, i) for i, x, y in points[:144] if 0 < x < 10 and 0 < y < 10 and not (4 < x < 6 and 4 < y < 6)} | {(2, 500), (2, 501)}
     assert got == want
+
+
+def test_filter_grows_with_the_keys_and_need_not_be_broadcast(spark, monkeypatch):
+    assert references.filter_words(0) == 1024 and references.filter_words(10**9) * 64 >= 16 * 10**9
+    rows = spark.createDataFrame([element("node", i) for i in range(0, 4000, 2)] + [element("way", i, nodes=[i, i + 1]) for i in range(0, 4000, 2)], ELEMENTS)
+    want = {tuple(r) for r in orphan_references(rows).collect()}
+    monkeypatch.setattr(references, "BROADCAST_WORDS", 0)
+    got = orphan_references(rows)
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 2000
+    keys = spark.range(0, 40_000, 2).select(F.col("id").alias("k"))
+    words = references.filter_words(20_000)
+    probed = references.with_membership(spark.range(40_000).select(F.col("id").alias("k")), ["k"], references.bloom_filter(keys, ["k"], words), words)
+    kept = probed.groupBy((F.col("k") % 2).alias("odd")).agg(F.avg(F.col("_maybe").cast("int")).alias("share")).collect()
+    shares = {r.odd: r.share for r in kept}
+    assert shares[0] == 1.0 and shares[1] < 0.02  # no parent is missed, few strangers pass
+
+
+def test_current_versions_equal_current_elements(spark):
+    rows = [element("node", 1), element("node", 1, version=2, visible=False), element("node", 2, version=None), element("node", 2, version=None, day=5, visible=False),
+            element("node", 3, version=-5), element("node", 3, version=-4, visible=True), (None, 4, 1, None, None, None, None, None, True, 1, None, None),
+            ("node", 5, 1, None, None, None, None, None, False, 1, None, None), ("node", 5, 1, None, None, None, None, None, False, 2, datetime(2024, 1, 1, 3, 30, 0, 5), None)]
+    df = spark.createDataFrame(rows, ELEMENTS)
+    want = {tuple(r) for r in current_elements(df).select("type", "id", "visible", "first_seen").collect()}
+    assert {tuple(r) for r in current_versions(df).collect()} == want and len(want) == 4
+    assert current_versions(df.limit(0)).count() == 0
