@@ -297,6 +297,12 @@ def explode_packed(df: DataFrame, fields: dict[str, Packing], keep: list[str], m
     return df.select(*dict.fromkeys([*keep, *fields])).mapInArrow(run, schema)
 
 
+def split_repeated(column: pa.Array, packing: Packing) -> pa.ListArray:
+    """``split_packed``, reading each distinct text of the column once."""
+    coded = column.cast(pa.string()).dictionary_encode()
+    return split_packed(coded.dictionary, packing).take(coded.indices)
+
+
 def packed_lists(df: DataFrame, fields: dict[str, Packing], keep: list[str]) -> DataFrame:
     """``keep`` columns plus an array of members per field; null where the value is missing."""
     schema = T.StructType([*(df.schema[c] for c in keep),
@@ -304,7 +310,7 @@ def packed_lists(df: DataFrame, fields: dict[str, Packing], keep: list[str]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [split_packed(batch.column(f), p) for f, p in fields.items()]
+            lists = [split_repeated(batch.column(f), p) for f, p in fields.items()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *lists],
                                              names=[*keep, *(f"{f}_members" for f in fields)])
 

@@ -52,7 +52,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_units(spark: SparkSession, d: str) -> DataFrame:
     """All speeds with their unit, posterior and flag."""
     return units.speeds_in_metres(table(spark, d, "edges"), table(spark, d, "extracts")).select(
-        "ord", "pos", "number", "unit", "m_per_h", F.round("posterior", 9).alias("posterior"), "uncertain")
+        "ord", "pos", "number", "unit", "m_per_h", "mixture_unit", F.round("posterior", 9).alias("posterior"), "uncertain")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,8 +67,18 @@ def p7_imputed(spark: SparkSession, d: str) -> DataFrame:
     return impute.imputed_edges(table(spark, d, "edges"), table(spark, d, "extracts"))
 
 
+def p7_convergence(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted parameters of each round and how far they moved."""
+    return impute.convergence(table(spark, d, "edges"), table(spark, d, "extracts"))
+
+
+def p7_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of the known values masked, filled and compared."""
+    return impute.held_out(impute.edge_observations(table(spark, d, "edges"), table(spark, d, "extracts")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_kinds, p5_found, p5_units,
-                                                     p6_found, p7_found, p7_imputed)}
+                                                     p6_found, p7_found, p7_imputed, p7_convergence, p7_accuracy)}
 QUERIES |= {f"p3_{kind}s": _nested(kind) for kind in nested.SUBTYPES} | {f"p3_element_{kind}s": _element(kind) for kind in ("tag", "node", "member")}
 
 _CURRENT = """
