@@ -63,16 +63,22 @@ def edge_observations(edges: DataFrame, extracts: DataFrame) -> DataFrame:
                        kph.isNull().alias("speed_kph_missing"))
 
 
-def group_statistics(rows: DataFrame) -> DataFrame:
-    """Per group of each field's observed values: least and greatest, and for numbers count, mean and variance of the logarithm.
+def group_predictors(rows: DataFrame) -> DataFrame:
+    """Per group what its observed values say of each field.
 
-    For the category also one value picked by hash, which is a draw from the group's values.
+    ``g_<c>``: the value on which all agree, else null. For numbers that differ, ``trust_<c>`` is the precision of
+    the logarithm and ``pull_<c>`` precision times mean. For the category ``n_highway`` counts the values and
+    ``pick_highway`` is one of them by hash, a draw from the group.
     """
     stats = [F.min("highway").alias("lo_highway"), F.max("highway").alias("hi_highway"), F.count("highway").alias("n_highway"),
              F.min_by("highway", F.when(F.col("highway").isNotNull(), F.xxhash64("ord"))).alias("pick_highway")]
     for c in NUMBERS:
         stats += [F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"), F.avg(_log(c)).alias(f"mean_{c}"), F.var_samp(_log(c)).alias(f"var_{c}")]
-    return rows.where("way IS NOT NULL").groupBy("way").agg(*stats)
+    found = rows.where("way IS NOT NULL").groupBy("way").agg(*stats)
+    agreed = [F.when(F.col(f"lo_{c}") == F.col(f"hi_{c}"), F.col(f"lo_{c}")).alias(f"g_{c}") for c in FIELDS]
+    trust = [F.try_divide(F.lit(1.0), F.col(f"var_{c}")) for c in NUMBERS]
+    pulls = [x for c, t in zip(NUMBERS, trust) for x in (t.alias(f"trust_{c}"), (t * F.col(f"mean_{c}")).alias(f"pull_{c}"))]
+    return found.select("way", "n_highway", "pick_highway", *agreed, *pulls)
 
 
 def _uniform(*columns: Column) -> Column:
@@ -88,8 +94,8 @@ def _bins(c: str) -> Column:
     return F.coalesce(F.floor(_log(c) / BIN), F.lit(-1)).cast("int")
 
 
-def _agrees(c: str) -> Column:
-    return F.col(f"lo_{c}").isNotNull() & (F.col(f"lo_{c}") == F.col(f"hi_{c}"))
+#: Status of a field in a record: observed, to be filled, or neither (several members, or no usable text).
+SEEN, OPEN, LEFT_OUT = 0, 1, 2
 
 
 # ---- sums that the fits are made of ---------------------------------------------
@@ -122,7 +128,7 @@ class _Models:
 
     def classify(self, state: DataFrame) -> tuple[DataFrame, dict]:
         """Add ``m_highway``: the group's value, or a draw given the bins of the numbers, backing off to all records."""
-        counts = self.closed["highway"].unionByName(_class_counts(state.where("highway_seen")))
+        counts = self.closed["highway"].unionByName(_class_counts(state.where(F.col("highway_status") == SEEN)))
         counts = counts.groupBy("b1", "b2", "highway").agg(F.sum("c").alias("c"))
         whole = counts.groupBy("highway").agg(F.sum("c").alias("c")).select(F.lit(-9).alias("b1"), F.lit(-9).alias("b2"), "highway", "c")
         # one entry per category seen with a pair of bins: grows with the number of categories, not with the records
@@ -140,47 +146,47 @@ class _Models:
         walk = F.aggregate(F.coalesce("e", "e0"), F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("string").alias("pick")),
                            lambda a, x: F.struct((a["seen"] + x["c"]).alias("seen"),
                                                  F.coalesce(a["pick"], F.when(a["seen"] + x["c"] >= target, x["highway"])).alias("pick")))
-        own = _uniform(F.col("ord"), F.lit("way")) < F.col("n_highway") / (F.col("n_highway") + 1)
-        drawn = F.when(_agrees("highway"), F.col("lo_highway")).when(own, F.col("pick_highway")).otherwise(walk["pick"])
-        return out.withColumn("m_highway", F.when(F.col("highway_open"), drawn)).drop("b1", "b2", "e", "total", "e0", "t0"), {"entropy": lost / n}
+        drawn = F.coalesce("g_highway", "own_highway", walk["pick"])
+        return out.withColumn("m_highway", F.when(F.col("highway_status") == OPEN, drawn)).drop("b1", "b2", "e", "total", "e0", "t0"), {"entropy": lost / n}
 
     def regress(self, state: DataFrame, y: str) -> tuple[DataFrame, dict]:
         """Add ``m_<y>``: the precision-weighted mean of regression and group, with a residual of the spread that is left."""
         x = NUMBERS[y]
-        sums = self.closed[y].unionByName(_moments(state.where(f"{y}_seen"), y))
+        sums = self.closed[y].unionByName(_moments(state.where(F.col(f"{y}_status") == SEEN), y))
         sums = materialize(sums.groupBy("highway").agg(*[F.sum(c).alias(c) for c in ("c", "sx", "sy", "sxx", "sxy", "syy")]), "regression")
         within = lambda a, b, ab: F.sum(F.col(ab) - F.col(a) * F.col(b) / F.col("c"))
         got = sums.agg(within("sx", "sy", "sxy"), within("sx", "sx", "sxx"), within("sy", "sy", "syy"), F.sum("c"), F.sum("sx"), F.sum("sy")).first()
         sxy, sxx, syy, n, sx, sy = (float(v or 0) for v in got)
         if n == 0:
-            return state.withColumn(f"m_{y}", F.when(F.col(f"{y}_open") & _agrees(y), F.col(f"lo_{y}"))), {}
+            return state.withColumn(f"m_{y}", F.lit(None).cast("bigint")), {}
         slope = sxy / sxx if sxx > 1e-9 else 0.0
         spread = max((max(syy - slope * sxy, 0.0) / n) ** 0.5, 1e-6)
         table = sums.where("highway IS NOT NULL").select("highway", ((F.col("sy") - slope * F.col("sx")) / F.col("c")).alias("a"))
         out = state.join(table, "highway", "left")
         mean = F.coalesce("a", F.lit((sy - slope * sx) / n)) + slope * F.coalesce(_log(x), F.lit(sx / n))
-        trust = F.try_divide(F.lit(1.0), F.col(f"var_{y}"))  # null where the group has no two different values
-        left = 1.0 / (F.coalesce(trust, F.lit(0.0)) + 1.0 / spread**2)
-        centre = left * (F.coalesce(trust * F.col(f"mean_{y}"), F.lit(0.0)) + mean / spread**2)
+        left = 1.0 / (F.coalesce(f"trust_{y}", F.lit(0.0)) + 1.0 / spread**2)
+        centre = left * (F.coalesce(f"pull_{y}", F.lit(0.0)) + mean / spread**2)
         normal = F.sqrt(-2 * F.ln(_uniform(F.col("ord"), F.lit(y)))) * F.cos(6.283185307179586 * _uniform(F.col("ord"), F.lit(y), F.lit(1)))
         drawn = F.round(F.exp(F.least(centre + F.sqrt(left) * normal, F.lit(40.0)))).cast("bigint")
-        filled = F.when(F.col(f"{y}_open"), F.when(_agrees(y), F.col(f"lo_{y}")).otherwise(drawn))
+        filled = F.when(F.col(f"{y}_status") == OPEN, F.coalesce(f"g_{y}", drawn))
         return out.withColumn(f"m_{y}", filled).drop("a"), {"slope": slope, "intercept": (sy - slope * sx) / n, "spread": spread}
 
 
 def chained_imputation(rows: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Chain:
-    """Records with every field completed: ``<field>``, ``<field>_missing`` and ``<field>_source``.
+    """Records ``(ord, <field>, <field>_source, g_<field>)`` with every field completed.
 
     Sources: ``observed``; ``group`` where the record's group leaves no variation; ``model``; null where nothing could
     be filled or the field holds several members.
     """
     rows = materialize(rows, "observations")
     gap = F.col("highway_missing") | F.col("maxspeed_missing") | F.col("speed_kph_missing")
-    groups = materialize(group_statistics(rows), "groups")
-    closed, state = rows.where(~gap), rows.where(gap).join(groups, "way", "left")
-    for c in FIELDS:
-        state = state.withColumn(f"{c}_seen", F.col(c).isNotNull()).withColumn(f"{c}_open", F.col(f"{c}_missing"))
-    state = materialize(state, "state")
+    status = [F.when(F.col(c).isNotNull(), SEEN).when(F.col(f"{c}_missing"), OPEN).otherwise(LEFT_OUT).cast("byte").alias(f"{c}_status") for c in FIELDS]
+    # a group of n values is drawn from with weight n against one for the classifier
+    own = F.when(_uniform(F.col("ord"), F.lit("way")) < F.col("n_highway") / (F.col("n_highway") + 1), F.col("pick_highway"))
+    predictors = [*[f"g_{c}" for c in FIELDS], *[f"{k}_{c}" for c in NUMBERS for k in ("trust", "pull")]]
+    groups = materialize(group_predictors(rows), "groups")
+    closed = rows.where(~gap)
+    state = materialize(rows.where(gap).join(groups, "way", "left").select("ord", *FIELDS, *status, own.alias("own_highway"), *predictors), "state")
     models, history = _Models(closed), []
     for number in range(1, rounds + 1):
         moved = 0.0
@@ -195,19 +201,22 @@ def chained_imputation(rows: DataFrame, rounds: int = ROUNDS, tolerance: float =
         state = materialize(state, "state")
         if moved < tolerance:
             break
-    done = state
-    for c in FIELDS:
-        done = done.withColumn(f"{c}_source", F.when(F.col(f"{c}_seen"), "observed").when(F.col(f"{c}_open") & F.col(c).isNotNull(),
-                                                                                        F.when(_agrees(c), "group").otherwise("model")))
-    for c in FIELDS:
-        closed = closed.withColumn(f"{c}_source", F.when(F.col(c).isNotNull(), "observed"))
-    return Chain(done.unionByName(closed, allowMissingColumns=True), history)
+    done = state.select("ord", *FIELDS, *[f"g_{c}" for c in FIELDS], *[
+        F.when(F.col(f"{c}_status") == SEEN, "observed").when((F.col(f"{c}_status") == OPEN) & F.col(c).isNotNull(), F.when(F.col(f"g_{c}").isNotNull(), "group").otherwise("model"))
+        .alias(f"{c}_source") for c in FIELDS])
+    whole = closed.select("ord", *FIELDS, *[F.when(F.col(c).isNotNull(), "observed").alias(f"{c}_source") for c in FIELDS])
+    return Chain(done.unionByName(whole, allowMissingColumns=True), history)
+
+
+def _cells(chain: Chain) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("fill"), F.col(f"{c}_source").alias("source"),
+                              (F.col(c) == F.col(f"g_{c}")).alias("fits")) for c in FIELDS])
+    return chain.state.select("ord", F.explode(each).alias("_f")).select("ord", "_f.*")
 
 
 def fills(chain: Chain) -> DataFrame:
     """``(ord, field, fill, source)``: one row per filled value."""
-    each = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("fill"), F.col(f"{c}_source").alias("source")) for c in FIELDS])
-    return chain.state.select("ord", F.explode(each).alias("_f")).select("ord", "_f.*").where("source IN ('group', 'model')")
+    return _cells(chain).where("source IN ('group', 'model')").drop("fits")
 
 
 def imputed_edges(edges: DataFrame, extracts: DataFrame) -> DataFrame:
@@ -215,11 +224,8 @@ def imputed_edges(edges: DataFrame, extracts: DataFrame) -> DataFrame:
 
 
 def group_fills(edges: DataFrame, extracts: DataFrame) -> DataFrame:
-    """``(ord, field, fill)``: the chain's fills of records whose group agrees, checked exactly against the group's value."""
-    chain = chained_imputation(edge_observations(edges, extracts))
-    each = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("fill"),
-                              (F.col(f"{c}_open") & _agrees(c) & (F.col(c) == F.col(f"lo_{c}"))).alias("fits")) for c in FIELDS])
-    return chain.state.select("ord", F.explode(each).alias("_f")).select("ord", "_f.*").where("fits").select("ord", "field", "fill").distinct()
+    """``(ord, field, fill)``: the chain's fills of records whose group leaves no variation, checked exactly against the group's one value."""
+    return _cells(chained_imputation(edge_observations(edges, extracts))).where("source = 'group' AND fits").select("ord", "field", "fill").distinct()
 
 
 def convergence(edges: DataFrame, extracts: DataFrame) -> DataFrame:
