@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadframe.model import StreetGraph, ValidationError
 from roadframe.operators.build import with_endpoints
+from roadframe.session import materialize
 
 
 def to_digraph(edges: DataFrame, weight: str = "length") -> DataFrame:
@@ -26,26 +27,37 @@ def edge_points(graph: StreetGraph, fill: bool = True) -> DataFrame:
     return ends.withColumn("geometry", F.coalesce("geometry", straight)).drop("u_x", "u_y", "v_x", "v_y")
 
 
-def same_geometry(a: Column, b: Column) -> Column:
-    """Equal points in either order; two missing geometries are equal."""
-    return a.eqNullSafe(b) | F.coalesce(a == F.reverse(b), F.lit(False))
+def undirected_shape(points: Column) -> Column:
+    """The points in the smaller of their two orders: equal for one line drawn either way."""
+    return F.least(points, F.reverse(points))
 
 
-def to_undirected(edges: DataFrame, identity: str = "osmid", geometry: str | None = None) -> DataFrame:
-    """Streets without their reciprocal twins: of the edges of one pair with one identity and one geometry, read either way, the first stays.
+def to_undirected(graph: StreetGraph, order: str = "ord") -> DataFrame:
+    """Streets without their reciprocal twins: ``(u, v, key, from, to, ...)`` with u <= v; ``from`` and ``to`` keep the direction.
 
-    Adds ``from`` and ``to`` (the kept direction); ``key`` numbers the streets of a pair in the order of ``ord``.
+    Two directions of a pair that share a key are one street when their lines are the same read either way (straight
+    where none is given); otherwise the first of them by ``order`` gets a new key above all keys of the pair. Then, of
+    a pair's streets with one way id (lists compare as sets) and one line, the one with the smallest key stays. Of
+    merged rows the first by ``order`` speaks.
     """
-    from pyspark.sql import Window
-
-    rest = [c for c in edges.columns if c not in ("u", "v", "key")]
-    rows = edges.withColumn("_a", F.least("u", "v")).withColumn("_b", F.greatest("u", "v"))
-    shape = F.lit("") if geometry is None else F.coalesce(F.least(F.to_json(F.struct(F.col(geometry))), F.to_json(F.struct(F.reverse(geometry)))), F.lit(""))
-    best = F.min_by(F.struct("u", "v", *rest), F.struct("ord", "u"))
-    kept = rows.groupBy("_a", "_b", F.col(identity).alias("_i"), shape.alias("_g")).agg(best.alias("_r"))
-    number = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("_r.ord")) - 1
-    return kept.select(F.col("_a").alias("u"), F.col("_b").alias("v"), number.cast("int").alias("key"), F.col("_r.u").alias("from"), F.col("_r.v").alias("to"),
-                       *[f"_r.{c}" for c in rest])
+    lines = edge_points(graph)
+    rest = [c for c in lines.columns if c not in ("u", "v", "key")]
+    listed = dict(lines.dtypes)["osmid"].startswith("array")
+    same_way = F.array_sort(F.array_distinct("osmid")) if listed else F.col("osmid")
+    rows = lines.withColumn("_a", F.least("u", "v")).withColumn("_b", F.greatest("u", "v")).withColumn("_g", undirected_shape(F.col("geometry")))
+    row = F.struct("u", "v", *rest, same_way.alias("_w"), "_g")
+    rank = F.struct(order, "u")
+    both = materialize(rows.groupBy("_a", "_b", "key").agg(F.min_by(row, rank).alias("_r"), F.max_by(row, rank).alias("_l"), (F.min("_g") != F.max("_g")).alias("_apart")), "twins")
+    twins = both.where("_apart").select("_a", "_b", "key")
+    top = rows.groupBy("_a", "_b").agg(F.max("key").alias("_top"))
+    # only pairs with bowed-out twins are numbered
+    number = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("key"))
+    fresh = twins.withColumn("_n", number).join(top, ["_a", "_b"]).select("_a", "_b", "key", (F.col("_top") + F.col("_n")).cast("int").alias("_new"))
+    kept = both.where("NOT _apart").select("_a", "_b", "key", "_r").unionByName(both.where("_apart").select("_a", "_b", "key", F.col("_l").alias("_r")))
+    moved = both.where("_apart").join(fresh, ["_a", "_b", "key"]).select("_a", "_b", F.col("_new").alias("key"), "_r")
+    streets = kept.unionByName(moved).groupBy("_a", "_b", F.col("_r._w").alias("_w"), F.col("_r._g").alias("_g")).agg(F.min_by(F.struct("key", "_r"), "key").alias("_s"))
+    return streets.select(F.col("_a").alias("u"), F.col("_b").alias("v"), F.col("_s.key").alias("key"), F.col("_s._r.u").alias("from"), F.col("_s._r.v").alias("to"),
+                          *[F.col(f"_s._r.{c}").alias(c) for c in rest])
 
 
 def route_edges(routes: DataFrame, edges: DataFrame, weight: str = "length") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from roadframe.functions.geo import euclidean, great_circle
 from roadframe.model import StreetGraph
 from roadframe.operators.build import with_endpoints
+from roadframe.operators.convert import to_undirected
+from roadframe.session import materialize
 
 
 def count_streets_per_node(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,15 +40,6 @@ def intersection_count(counts: DataFrame, min_streets: int = 2) -> DataFrame:
     return counts.agg(F.count_if(F.col("street_count") >= min_streets).alias("intersection_count"))
 
 
-def to_streets(edges: DataFrame) -> DataFrame:
-    """Undirected streets: one row per unordered pair and key, the smallest ``ord`` speaks for the row."""
-    rest = [c for c in edges.columns if c not in ("u", "v", "key")]
-    rows = edges.withColumn("_a", F.least("u", "v")).withColumn("_b", F.greatest("u", "v"))
-    best = F.min_by(F.struct("u", "v", *rest), F.struct("ord", "u"))
-    return rows.groupBy("_a", "_b", "key").agg(best.alias("_r")).select(
-        F.col("_a").alias("u"), F.col("_b").alias("v"), "key", F.col("_r.u").alias("from"), F.col("_r.v").alias("to"), *[f"_r.{c}" for c in rest])
-
-
 def edge_totals(edges: DataFrame, prefix: str) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias(f"{prefix}_count"), F.sum("length").alias(f"{prefix}_length_total"), F.avg("length").alias(f"{prefix}_length_avg"))
 
@@ -63,22 +56,39 @@ def circuity_avg(graph: StreetGraph, streets: DataFrame) -> DataFrame:
     return ends.agg(F.try_divide(F.sum("length"), F.sum(line)).alias("circuity_avg"))
 
 
-def basic_stats(graph: StreetGraph, area: float | None = None) -> DataFrame:
-    """One row with all measures; densities are per square kilometre of ``area`` (in square metres)."""
-    counts = count_streets_per_node(graph.nodes, graph.edges)
-    streets = to_streets(graph.edges)
+def basic_stats(graph: StreetGraph, area: float | None = None, clean_int_tol: float | None = None) -> DataFrame:
+    """One row with all measures; densities are per square kilometre of ``area`` (in square metres).
+
+    ``streets_per_node_counts`` and ``streets_per_node_proportions`` are maps by number of streets. With ``clean_int_tol``
+    (metres) also the number of places that intersections within that tolerance merge to. A ``street_count`` column of
+    the nodes is used where there is one.
+    """
+    from roadframe.operators.simplify import merged_places
+
+    counted = "street_count" in graph.nodes.columns
+    counts = graph.nodes.select("osmid", "street_count") if counted else count_streets_per_node(graph.nodes, graph.edges)
+    counts = materialize(counts, "counts")
+    streets = materialize(to_undirected(graph), "streets")
     per_node = counts.agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum("street_count"), F.count(F.lit(1))).alias("streets_per_node_avg"),
                           F.count_if(F.col("street_count") >= 2).alias("intersection_count"))
+    every = streets_per_node_counts(counts)
+    entry = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("streets", c))))
+    shares = every.agg(entry("n").alias("streets_per_node_counts"), entry("proportion").alias("streets_per_node_proportions"))  # one entry per number of streets
     loops = F.avg((F.col("u") == F.col("v")).cast("int")).alias("self_loop_proportion")
     per_street = streets.agg(F.count(F.lit(1)).alias("street_segment_count"), F.sum("length").alias("street_length_total"), F.avg("length").alias("street_length_avg"), loops)
     out = edge_totals(graph.edges, "edge").withColumnRenamed("edge_count", "m")
-    for row in (per_node, per_street, circuity_avg(graph, streets)):
+    parts = [per_node, shares, per_street, circuity_avg(graph, streets)]
+    densities = [("n", "node_density_km"), ("intersection_count", "intersection_density_km"), ("edge_length_total", "edge_density_km"), ("street_length_total", "street_density_km")]
+    if clean_int_tol:
+        places = merged_places(graph.with_(nodes=graph.nodes.drop("street_count").join(counts, "osmid")), clean_int_tol, dead_ends=False)
+        parts.append(places.agg(F.count(F.lit(1)).alias("clean_intersection_count")))
+        densities.append(("clean_intersection_count", "clean_intersection_density_km"))
+    for row in parts:
         out = out.join(F.broadcast(row), F.lit(True))  # single rows
     out = out.withColumn("k_avg", F.try_divide(2 * F.col("m"), F.col("n")))
     if area is not None:
-        km2 = area / 1e6
-        for measure, name in (("n", "node_density_km"), ("intersection_count", "intersection_density_km"), ("edge_length_total", "edge_density_km"), ("street_length_total", "street_density_km")):
-            out = out.withColumn(name, F.col(measure) / km2)
+        for measure, name in densities:
+            out = out.withColumn(name, F.col(measure) / (area / 1e6))
     return out
 
 

@@ -223,13 +223,27 @@ def bbox_from_point(spark: SparkSession, d: str) -> DataFrame:
 _SPN = G + """, st AS (SELECT DISTINCT least(u, v) a, greatest(u, v) b, key FROM ge WHERE u <> v),
 inc AS (SELECT a o FROM st UNION ALL SELECT b FROM st UNION ALL SELECT * FROM (SELECT DISTINCT u FROM ge WHERE u = v) UNION ALL SELECT * FROM (SELECT DISTINCT u FROM ge WHERE u = v)),
 spn AS (SELECT osmid, count(o)::BIGINT street_count FROM gn LEFT JOIN inc ON o = osmid GROUP BY osmid)"""
-_STREETS = """, su AS (SELECT * FROM (SELECT *, least(u, v) a, greatest(u, v) b, row_number() OVER (PARTITION BY least(u, v), greatest(u, v), key ORDER BY ord, u) srn FROM gx) WHERE srn = 1)"""
+# every edge as its points: those of its text, else its two ends
+_LINES = G + """, ln AS (SELECT *, CASE WHEN geom_wkt IS NULL THEN [{'x': ux, 'y': uy}, {'x': vx, 'y': vy}] ELSE
+      list_transform(string_split(regexp_extract(geom_wkt, '\\(([^()]*)\\)', 1), ','), lambda p: {'x': string_split(trim(p), ' ')[1]::DOUBLE, 'y': string_split(trim(p), ' ')[2]::DOUBLE}) END p FROM gx),
+    sg AS (SELECT u, v, key, p[i].x ux, p[i].y uy, p[i + 1].x - p[i].x dx, p[i + 1].y - p[i].y dy FROM (SELECT *, unnest(range(1, len(p))) i FROM ln))"""
+# streets: directions that share a key and a line merge, others of one key get a new one; then one per way and line
+_STREETS = _LINES + """, sa AS (SELECT *, least(u, v) a, greatest(u, v) b, CASE WHEN p::VARCHAR <= list_reverse(p)::VARCHAR THEN p::VARCHAR ELSE list_reverse(p)::VARCHAR END g FROM ln),
+    sb AS (SELECT *, row_number() OVER (PARTITION BY a, b, key ORDER BY ord) r, min(g) OVER (PARTITION BY a, b, key) = max(g) OVER (PARTITION BY a, b, key) same, max(key) OVER (PARTITION BY a, b) top FROM sa),
+    sc AS (SELECT *, CASE WHEN r = 1 AND NOT same THEN top + row_number() OVER (PARTITION BY a, b, r = 1 AND NOT same ORDER BY key) ELSE key END nk FROM sb WHERE r = 1 OR NOT same),
+    sd AS (SELECT *, row_number() OVER (PARTITION BY a, b, osmid, g ORDER BY nk) dr FROM sc),
+    su AS (SELECT a u, b v, nk::INTEGER key, u "from", v "to", ord, length, ux, uy, vx, vy FROM sd WHERE dr = 1)"""
+_SPN_STREETS = _STREETS + _SPN[len(G):]
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.count_streets_per_node(nodes(spark, d), edges(spark, d))
 
 
+def _undirected(spark: SparkSession, d: str) -> DataFrame:
+    return convert.to_undirected(graph(spark, d, geometry=True))
+
+
 @query(_SPN + " SELECT osmid, street_count FROM spn")
 def streets_per_node(spark: SparkSession, d: str) -> DataFrame:
     return _counts(spark, d)
@@ -256,29 +270,29 @@ def edge_length_total(spark: SparkSession, d: str) -> DataFrame:
     return stats.edge_totals(edges(spark, d), "edge").select("edge_count", F.round("edge_length_total", 2).alias("edge_length_total"), F.round("edge_length_avg", 4).alias("edge_length_avg"))
 
 
-@query(G + _STREETS + " SELECT count(*)::BIGINT street_count, round(sum(length), 2) street_length_total, round(avg(length), 4) street_length_avg FROM su")
+@query(_STREETS + " SELECT count(*)::BIGINT street_count, round(sum(length), 2) street_length_total, round(avg(length), 4) street_length_avg FROM su")
 def street_length_total(spark: SparkSession, d: str) -> DataFrame:
-    return stats.edge_totals(stats.to_streets(edges(spark, d)), "street").select("street_count", F.round("street_length_total", 2).alias("street_length_total"), F.round("street_length_avg", 4).alias("street_length_avg"))
+    return stats.edge_totals(_undirected(spark, d), "street").select("street_count", F.round("street_length_total", 2).alias("street_length_total"), F.round("street_length_avg", 4).alias("street_length_avg"))
 
 
-@query(G + _STREETS + " SELECT round(avg((u = v)::INT), 6) self_loop_proportion FROM su")
+@query(_STREETS + " SELECT round(avg((u = v)::INT), 6) self_loop_proportion FROM su")
 def self_loop_proportion(spark: SparkSession, d: str) -> DataFrame:
-    return stats.self_loop_proportion(stats.to_streets(edges(spark, d))).select(F.round("self_loop_proportion", 6).alias("self_loop_proportion"))
+    return stats.self_loop_proportion(_undirected(spark, d)).select(F.round("self_loop_proportion", 6).alias("self_loop_proportion"))
 
 
-@query(G + _STREETS + f" SELECT round(sum(length) / nullif(sum({haversine('uy', 'ux', 'vy', 'vx')}), 0), 5) circuity_avg FROM su")
+@query(_STREETS + f" SELECT round(sum(length) / nullif(sum({haversine('uy', 'ux', 'vy', 'vx')}), 0), 5) circuity_avg FROM su")
 def circuity_avg(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    return stats.circuity_avg(g, stats.to_streets(g.edges)).select(F.round("circuity_avg", 5).alias("circuity_avg"))
+    return stats.circuity_avg(g, _undirected(spark, d)).select(F.round("circuity_avg", 5).alias("circuity_avg"))
 
 
-@query(_SPN + _STREETS + f""" SELECT (SELECT count(*) FROM gn)::BIGINT n, (SELECT count(*) FROM ge)::BIGINT m, round(2 * (SELECT count(*) FROM ge) / (SELECT count(*) FROM gn), 6) k_avg,
+@query(_SPN_STREETS + f""" SELECT (SELECT count(*) FROM gn)::BIGINT n, (SELECT count(*) FROM ge)::BIGINT m, round(2 * (SELECT count(*) FROM ge) / (SELECT count(*) FROM gn), 6) k_avg,
     round((SELECT sum(length) FROM ge), 2) edge_length_total, round((SELECT avg(length) FROM ge), 4) edge_length_avg,
     round((SELECT sum(street_count) / count(*) FROM spn), 6) streets_per_node_avg, (SELECT count(*) FROM spn WHERE street_count >= 2)::BIGINT intersection_count,
     count(*)::BIGINT street_segment_count, round(sum(length), 2) street_length_total, round(avg(length), 4) street_length_avg, round(avg((u = v)::INT), 6) self_loop_proportion,
     round(sum(length) / nullif(sum({haversine('uy', 'ux', 'vy', 'vx')}), 0), 5) circuity_avg, round((SELECT count(*) FROM gn) / 1e3, 6) node_density_km FROM su""")
 def basic_stats(spark: SparkSession, d: str) -> DataFrame:
-    out = stats.basic_stats(graph(spark, d), area=1e9)
+    out = stats.basic_stats(graph(spark, d, geometry=True), area=1e9)
     digits = {"k_avg": 6, "edge_length_total": 2, "edge_length_avg": 4, "streets_per_node_avg": 6, "street_length_total": 2, "street_length_avg": 4, "self_loop_proportion": 6, "circuity_avg": 5, "node_density_km": 6}
     return out.select("n", "m", "intersection_count", "street_segment_count", *[F.round(c, k).alias(c) for c, k in digits.items()])
 
@@ -350,10 +364,9 @@ def to_digraph(spark: SparkSession, d: str) -> DataFrame:
     return convert.to_digraph(edges(spark, d)).select("u", "v", "key", "length")
 
 
-@query(G + """, k AS (SELECT *, row_number() OVER (PARTITION BY least(u, v), greatest(u, v), osmid ORDER BY ord, u) r FROM ge)
-    SELECT least(u, v) u, greatest(u, v) v, (row_number() OVER (PARTITION BY least(u, v), greatest(u, v) ORDER BY ord) - 1)::INTEGER key, u "from", v "to", ord FROM k WHERE r = 1""")
+@query(_STREETS + """ SELECT u, v, key, "from", "to", ord FROM su""")
 def to_undirected(spark: SparkSession, d: str) -> DataFrame:
-    return convert.to_undirected(edges(spark, d)).select("u", "v", "key", "from", "to", "ord")
+    return convert.to_undirected(graph(spark, d, geometry=True)).select("u", "v", "key", "from", "to", "ord")
 
 
 @query(G + """ SELECT 'node_without_id' AS rule, (SELECT count(*) FROM gn WHERE osmid IS NULL)::BIGINT violations UNION ALL SELECT 'node_without_place', (SELECT count(*) FROM gn WHERE x IS NULL OR y IS NULL)
@@ -419,12 +432,6 @@ def nearest_nodes_all(spark: SparkSession, d: str) -> DataFrame:
     return nearest.nearest_nodes(nodes(spark, d), _all_points(spark, d)).select("point_id", F.round("dist", 3).alias("dist"))
 
 
-# every edge as its points: those of its text, else its two ends
-_LINES = G + """, ln AS (SELECT u, v, key, CASE WHEN geom_wkt IS NULL THEN [{'x': ux, 'y': uy}, {'x': vx, 'y': vy}] ELSE
-      list_transform(string_split(regexp_extract(geom_wkt, '\\(([^()]*)\\)', 1), ','), lambda p: {'x': string_split(trim(p), ' ')[1]::DOUBLE, 'y': string_split(trim(p), ' ')[2]::DOUBLE}) END p FROM gx),
-    sg AS (SELECT u, v, key, p[i].x ux, p[i].y uy, p[i + 1].x - p[i].x dx, p[i + 1].y - p[i].y dy FROM (SELECT *, unnest(range(1, len(p))) i FROM ln))"""
-
-
 @query(_LINES + """, q AS (SELECT osmid point_id, x + 0.0007 px, y - 0.0004 py FROM gn),
     c AS (SELECT point_id, px, py, ux, uy, dx, dy, greatest(0, least(1, coalesce(((px - ux) * dx + (py - uy) * dy) / nullif(dx * dx + dy * dy, 0), 0))) t FROM q, sg)
     SELECT point_id, round(min(sqrt(power(ux + t * dx - px, 2) + power(uy + t * dy - py, 2))), 9) dist FROM c GROUP BY point_id""")

@@ -69,6 +69,13 @@ def chain(spark):
     return StreetGraph(nodes, edges)
 
 
+def test_nan_is_missing(spark):
+    graph = chain(spark)
+    lanes = graph.edges.withColumn("lanes", F.when(F.col("u") == 2, F.lit(float("nan"))).cast("double"))
+    out = simplify.simplify_graph(graph.with_(edges=lanes), edge_attrs=["lanes"])
+    assert {r.osmid for r in out.nodes.collect()} == {1, 3} and all(r.lanes == [] for r in out.edges.collect())
+
+
 def test_simplify(spark):
     graph = chain(spark)
     out = simplify.simplify_graph(graph, edge_attrs=["lanes"], track_merged=True)
@@ -117,18 +124,51 @@ def test_consolidate_drops_dead_ends(spark):
     graph = StreetGraph(nodes, lines, {"crs": 3857})
     out = simplify.consolidate_intersections(graph, 1.0, dead_ends=False)
     assert sorted(r.osmid_original for r in out.nodes.collect()) == [[0], [1], [2]] and out.edges.count() == 3
-    assert "street_count" not in out.nodes.columns
+    assert {r.osmid: r.street_count for r in out.nodes.collect()} == {0: 3, 1: 2, 2: 2}
     kept = simplify.consolidate_intersections(graph, 1.0, dead_ends=True, reconnect=False)
     assert sorted(r.osmid_original for r in kept.nodes.collect()) == [[0, 3], [1], [2]]
 
 
-def test_disc_union():
+def test_disc_union(spark):
     import numpy as np
 
-    x, y = simplify.disc_union_centroid(np.array([0.0, 1.0, 0.5]), np.array([0.0, 0.0, 1.0]), 1.0)
+    discs = [(0.0, 0.0, 1.0), (1.0, 0.0, 1.0), (0.5, 1.0, 0.7), (0.1, 0.1, 0.2), (1.0, 0.0, 0.5)]
     g = np.stack(np.meshgrid(np.linspace(-1.5, 2.5, 801), np.linspace(-1.5, 2.5, 801)), -1)
-    inside = np.any([((g - c) ** 2).sum(-1) <= 1 for c in ((0, 0), (1, 0), (0.5, 1))], 0)
-    assert (x, y) == pytest.approx(tuple(g[inside].mean(0)), abs=5e-3)
+    inside = np.any([((g - (x, y)) ** 2).sum(-1) <= r * r for x, y, r in discs], 0)
+    nodes = spark.createDataFrame([(i, *p) for i, p in enumerate(discs)], "osmid bigint, x double, y double, reach double")
+    lines = spark.createDataFrame([(0, 1, 0, 1, "a", 1.0, None)], EDGES)
+    got = simplify.merged_places(StreetGraph(nodes, lines, {"crs": 3857}), "reach", dead_ends=True).collect()
+    assert len(got) == 1 and got[0].n == 5 and (got[0].x, got[0].y) == pytest.approx(tuple(g[inside].mean(0)), abs=5e-3)
+
+
+def test_own_tolerances_and_street_counts(spark):
+    # 0 and 1 are 8 apart: their own reaches of 5 and 3 touch, 3 and null do not; the new node joins two streets
+    rows = [(0, 0.0, 0.0, 5.0), (1, 8.0, 0.0, 3.0), (2, 50.0, 0.0, 3.0), (3, 55.0, 0.0, None)]
+    nodes = spark.createDataFrame(rows, "osmid bigint, x double, y double, reach double")
+    lines = spark.createDataFrame([(a, b, 0, i, "a", 1.0, None) for i, (a, b) in enumerate([(0, 1), (1, 0), (1, 2), (2, 3), (0, 3)])], EDGES)
+    graph = StreetGraph(nodes, lines, {"crs": 3857})
+    out = simplify.consolidate_intersections(graph, "reach", dead_ends=True)
+    assert {r.osmid: (r.osmid_original, r.street_count) for r in out.nodes.collect()} == {0: ([0, 1], 2), 2: ([2], 2), 3: ([3], 2)}
+    with pytest.raises(ValueError):
+        simplify.consolidate_intersections(graph, 0.0)
+    assert simplify.merged_places(graph.with_(nodes=nodes.limit(0)), 5.0, dead_ends=True).count() == 0
+
+
+def test_streets_follow_their_lines(spark):
+    pts = "geometry array<struct<x:double,y:double>>"
+    bow = lambda y: [(0.0, 0.0), (0.5, y), (1.0, 0.0)]
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0)], "osmid bigint, x double, y double")
+    rows = [(1, 2, 0, 1, "a", 1.0, None, None), (2, 1, 0, 2, "a", 1.0, None, [(1.0, 0.0), (0.0, 0.0)]),  # one street, drawn and undrawn
+            (1, 2, 1, 3, "b", 1.2, None, bow(0.4)), (2, 1, 1, 4, "b", 1.2, None, bow(-0.4)[::-1]),  # two streets that bow apart under one key
+            (1, 2, 3, 5, "a", 1.0, None, None),  # the first street again under another key: same way and line
+            (1, 2, 4, 6, "c", 1.0, None, None), (2, 2, 0, 7, "d", 1.0, None, bow(1.0)), (2, 2, 1, 8, "d", 1.0, None, bow(1.0)[::-1])]
+    edges = spark.createDataFrame(rows, EDGES + ", " + pts)
+    got = {(r.u, r.v, r.key): r.ord for r in convert.to_undirected(StreetGraph(nodes, edges)).collect()}
+    assert got == {(1, 2, 0): 1, (1, 2, 5): 3, (1, 2, 1): 4, (1, 2, 4): 6, (2, 2, 0): 7}
+    listed = edges.withColumn("osmid", F.when(F.col("ord") == 5, F.array(F.lit("z"), F.lit("a"))).otherwise(F.array("osmid")))
+    assert convert.to_undirected(StreetGraph(nodes, listed)).count() == 6 and convert.to_undirected(StreetGraph(nodes, edges.limit(0))).count() == 0
+    row = stats.basic_stats(StreetGraph(nodes, edges), area=1e6, clean_int_tol=10.0).first()
+    assert (row.n, row.m, row.street_segment_count, row.clean_intersection_count) == (2, 8, 5, 2) and row.streets_per_node_counts[4] == 1
 
 
 def test_paths(spark):
