@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -103,35 +104,96 @@ def _polar(lon: Column, lat: Column, north: bool) -> Column:
     return F.struct((2_000_000.0 + rho * F.sin(lam)).alias("x"), (2_000_000.0 - sign * rho * F.cos(lam)).alias("y"))
 
 
-def inside_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
-    """Whether a point lies in or on a closed ring of constants: boundary included."""
-    pts = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-    crossings = F.lit(0)
-    for (x1, y1), (x2, y2) in zip(pts[:-1], pts[1:]):
-        if y1 != y2:
-            at = F.lit(x1) + (y - y1) / (y2 - y1) * (x2 - x1)
-            crossings = crossings + F.when(((F.lit(y1) <= y) != (F.lit(y2) <= y)) & (at > x), 1).otherwise(0)
-    return on_ring(x, y, pts) | (crossings % 2 == 1)
-
-
-def on_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
-    """Whether a point lies on a side of a closed ring of constants."""
-    pts = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-    on_side = F.lit(False)
-    for (x1, y1), (x2, y2) in zip(pts[:-1], pts[1:]):
-        cross = (x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)
-        on_side = on_side | ((cross == 0) & x.between(min(x1, x2), max(x1, x2)) & y.between(min(y1, y2), max(y1, y2)))
-    return on_side
-
-
-def inside_polygon(x: Column, y: Column, polygon: list[list[tuple[float, float]]]) -> Column:
-    """Inside the shell and in no hole; the box of the shell is tested first, so a scan can use it."""
-    shell, *holes = polygon
-    xs, ys = [p[0] for p in shell], [p[1] for p in shell]
-    test = x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)) & inside_ring(x, y, shell)
-    for hole in holes:
-        test = test & ~inside_ring(x, y, hole)
-    return test
+Ring = list[tuple[float, float]]
+
+
+def banded_sides(y: Column, parts: list[list[Ring]], margin: float = 0.0) -> Column:
+    """The sides (x1, y1, x2, y2, part) of closed rings that pass within ``margin`` of a latitude.
+
+    All sides are one constant, listed by bands of latitude, so an expression over
+    them does not grow with the corners and a point meets only its own band's sides.
+    """
+    sides = [(*map(float, p), *map(float, q), i) for i, part in enumerate(parts) for r in part for p, q in zip(r[:-1], r[1:])]
+    low = min(min(s[1], s[3]) for s in sides) - margin
+    high = max(max(s[1], s[3]) for s in sides) + margin
+    n = max(1, min(1024, len(sides) // 4))
+    height = max((high - low) / n, 1e-12)
+    bands: list[list[dict]] = [[] for _ in range(n)]
+    for side in sides:
+        first, last = (int((v - low) / height) for v in (min(side[1], side[3]) - margin, max(side[1], side[3]) + margin))
+        for i in range(max(first - 1, 0), min(last + 1, n - 1) + 1):
+            bands[i].append(dict(zip(("x1", "y1", "x2", "y2", "part"), side)))
+    table = F.from_json(F.lit(json.dumps(bands)), "array<array<struct<x1:double,y1:double,x2:double,y2:double,part:int>>>")
+    at = F.least(F.greatest(F.floor((y - low) / height), F.lit(0)), F.lit(n - 1)).cast("int")
+    return F.when(y.between(low, high), F.get(table, at))
+
+
+def inside_parts(x: Column, y: Column, parts: list[list[Ring]]) -> Column:
+    """Inside the shell and in no hole of any of several polygons; borders, also of holes, belong to them.
+
+    The box around all shells is tested first, so a scan can use it.
+    """
+    def on_side(s: Column) -> Column:
+        cross = (x - s["x1"]) * (s["y2"] - s["y1"]) - (y - s["y1"]) * (s["x2"] - s["x1"])
+        return (cross == 0) & x.between(F.least(s["x1"], s["x2"]), F.greatest(s["x1"], s["x2"])) & y.between(F.least(s["y1"], s["y2"]), F.greatest(s["y1"], s["y2"]))
+
+    def crossed(s: Column) -> Column:
+        at = s["x1"] + F.try_divide(y - s["y1"], s["y2"] - s["y1"]) * (s["x2"] - s["x1"])
+        return ((s["y1"] <= y) != (s["y2"] <= y)) & (at > x)
+
+    corners = [p for part in parts for p in part[0]]
+    box = x.between(min(p[0] for p in corners), max(p[0] for p in corners)) & y.between(min(p[1] for p in corners), max(p[1] for p in corners))
+    sides = banded_sides(y, parts)
+    hits = F.transform(F.filter(sides, crossed), lambda s: s["part"])  # the part of each side right of the point
+    odd = F.size(hits) % 2 == 1 if len(parts) == 1 else F.exists(F.array_distinct(hits), lambda p: F.size(F.filter(hits, lambda h: h == p)) % 2 == 1)
+    return box & F.coalesce(F.exists(sides, on_side) | odd, F.lit(False))
+
+
+def inside_polygon(x: Column, y: Column, polygon: list[Ring]) -> Column:
+    return inside_parts(x, y, as_parts(polygon))
+
+
+def as_parts(polygon: list) -> list[list[list[tuple[float, float]]]]:
+    """A polygon (rings) or several (lists of rings) as several, every ring closed."""
+    several = polygon if isinstance(polygon[0][0][0], (list, tuple)) else [polygon]
+    close = lambda r: [tuple(p) for p in r] if tuple(r[0]) == tuple(r[-1]) else [*[tuple(p) for p in r], tuple(r[0])]
+    return [[close(r) for r in part] for part in several]
+
+
+def require_simple(parts: list[list[list[tuple[float, float]]]]) -> None:
+    """Every ring has three corners at least and does not cross itself; raises ``ValueError`` otherwise."""
+    for ring in (r for part in parts for r in part):
+        p = np.array(ring, float)
+        if len(p) < 4 or not np.isfinite(p).all():
+            raise ValueError("a ring needs three corners at least, all finite")
+        a, b = p[:-1], p[1:]
+        turn = lambda o, d, q: d[0] * (q[:, 1] - o[1]) - d[1] * (q[:, 0] - o[0])
+        for i in range(len(a)):
+            d = b[i] - a[i]
+            one, two = turn(a[i], d, a), turn(a[i], d, b)
+            e = b - a
+            back = lambda q: e[:, 0] * (q[1] - a[:, 1]) - e[:, 1] * (q[0] - a[:, 0])
+            if ((one * two < 0) & (back(a[i]) * back(b[i]) < 0)).any():
+                raise ValueError("a ring crosses itself")
+
+
+def within_distance(x: Column, y: Column, parts: list[list[list[tuple[float, float]]]], dist: float) -> Column:
+    """Inside, or at most ``dist`` metres from a side, of polygons in degrees.
+
+    Distances are taken on the plane around each point where a degree of longitude has the length it has there.
+    """
+    metre = math.degrees(1 / EARTH_RADIUS_M)
+    shrink = F.cos(F.radians(y))
+
+    def close(s: Column) -> Column:
+        dx, dy = (s["x2"] - s["x1"]) * shrink, s["y2"] - s["y1"]
+        px, py = (x - s["x1"]) * shrink, y - s["y1"]
+        t = F.greatest(F.least(F.coalesce(F.try_divide(px * dx + py * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+        gx, gy = px - t * dx, py - t * dy
+        return gx * gx + gy * gy <= (dist * metre) ** 2
+
+    near = F.coalesce(F.exists(banded_sides(y, parts, dist * metre), close), F.lit(False))
+    return inside_parts(x, y, parts) | near
 
 
 def line_length(points: Column, metric: str = "haversine") -> Column:

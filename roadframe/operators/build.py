@@ -90,8 +90,9 @@ def create_graph(elements: DataFrame, network_type: str = "all", custom_filter:
     """Nodes and directed edges with keys, lengths and the useful way tags."""
     nodes = current_nodes(elements)
     both = network_type == "walk" if bidirectional is None else bidirectional
-    segments = with_keys(way_segments(current_ways(elements, network_type, custom_filter), both, all_oneway), "way", "reversed", "seq")
+    ways = current_ways(elements, network_type, custom_filter)
+    segments = with_keys(way_segments(ways, both, all_oneway), "way", "reversed", "seq")
     edges = add_edge_lengths(segments, nodes).select("u", "v", "key", F.col("way").alias("osmid"), "length", "oneway", "reversed",
                                                      *[F.col("tags")[t].alias(t) for t in WAY_TAGS if t not in ("oneway",)])
-    used = edges.select(F.explode(F.array("u", "v")).alias("osmid")).distinct()
+    used = ways.select(F.explode("nodes").alias("osmid")).distinct()  # also nodes that no edge leads to
     return StreetGraph(nodes.join(used, "osmid", "left_semi"), edges, {"crs": 4326, "simplified": False})

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadframe.functions.geo import inside_polygon, on_ring
+from roadframe.functions.geo import as_parts, inside_parts, inside_polygon
 from roadframe.operators.filters import tag_predicate
 from roadframe.sources.tables import current_elements
 
@@ -149,10 +149,10 @@ def meets_polygon(paths: list[list[tuple[float, float]]], area: bool, polygon: l
     return any(_odd(*p[0], other) for p in paths) or (area and _odd(*polygon[0][0], mine))
 
 
-def relation_geometry(relations: DataFrame, ways: DataFrame, polygon: list[list[tuple[float, float]]] | None = None) -> DataFrame:
+def relation_geometry(relations: DataFrame, ways: DataFrame, polygons: list[list[list[tuple[float, float]]]] | None = None) -> DataFrame:
     """``(id, wkt, parts, holes)`` of boundary and multipolygon relations; a missing member way leaves the geometry null.
 
-    With a ``polygon`` also ``meets``: whether the geometry shares a point with it.
+    With ``polygons`` also ``meets``: whether the geometry shares a point with one of them.
     ``relations`` has ``(id, members, tags)``, ``ways`` has ``(id, points)``. A role that is null or empty counts as outer.
     """
     wanted = relations.where(F.col("tags")["type"].isin(*RELATION_TYPES))
@@ -168,9 +168,9 @@ def relation_geometry(relations: DataFrame, ways: DataFrame, polygon: list[list[
             parts = assemble_multipolygon([line(p) for p, r in zip(pdf["points"], pdf["role"]) if r != "inner"], inner)
             wkt = multipolygon_wkt(parts)
         out = pd.DataFrame({"id": [pdf["id"].iloc[0]], "wkt": [wkt], "parts": [len(parts)], "holes": [sum(len(p) - 1 for p in parts)]})
-        return out if polygon is None else out.assign(meets=bool(parts) and meets_polygon([r for p in parts for r in p], True, polygon))
+        return out if polygons is None else out.assign(meets=bool(parts) and any(meets_polygon([r for p in parts for r in p], True, one) for one in polygons))
 
-    return rows.groupBy("id").applyInPandas(build, "id bigint, wkt string, parts int, holes int" + (", meets boolean" if polygon is not None else ""))
+    return rows.groupBy("id").applyInPandas(build, "id bigint, wkt string, parts int, holes int" + (", meets boolean" if polygons is not None else ""))
 
 
 def current_features(elements: DataFrame, query: dict[str, bool | str | list[str]]) -> DataFrame:
@@ -184,37 +184,34 @@ def features_in_polygon(points: DataFrame, polygon: list[list[tuple[float, float
     return points.where(inside_polygon(F.col("x"), F.col("y"), polygon) & tag_predicate(query))
 
 
-def features_meeting_polygon(points: DataFrame, ways: DataFrame, relations: DataFrame, polygon: list[list[tuple[float, float]]],
-                             query: dict[str, bool | str | list[str]]) -> DataFrame:
-    """``(element, id, tags)`` of nodes, ways and relations that fit the query and whose geometry shares a point with a polygon.
+def features_meeting_polygon(points: DataFrame, ways: DataFrame, relations: DataFrame, polygons: list | None, query: dict[str, bool | str | list[str]]) -> DataFrame:
+    """``(element, id, tags)`` of nodes, ways and relations that fit the query and whose geometry shares a point with a polygon or one of several.
 
     ``points`` has ``(id, x, y, tags)``, ``ways`` is ``way_geometry``'s result with all member ways, ``relations`` has ``(id, members, tags)``.
-    Features without geometry are left out.
+    Features without geometry are left out. No polygon: every place fits; an empty query: every tagged element fits.
     """
-    within = inside_polygon(F.col("x"), F.col("y"), polygon)
-    for hole in polygon[1:]:
-        within = within | on_ring(F.col("x"), F.col("y"), hole)
-    nodes = points.where(within & tag_predicate(query)).select(F.lit("node").alias("element"), "id", "tags")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            met = [meets_polygon([[(q["x"], q["y"]) for q in p]], kind == "Polygon", polygon) for p, kind in zip(batch["points"], batch["kind"])]
-            yield batch.loc[met, ["id"]]
-
-    xs, ys = [p[0] for p in polygon[0]], [p[1] for p in polygon[0]]
-    axis = lambda c: F.transform("points", lambda p: p[c])
-    boxed = (F.array_min(axis("x")) <= max(xs)) & (F.array_max(axis("x")) >= min(xs)) & (F.array_min(axis("y")) <= max(ys)) & (F.array_max(axis("y")) >= min(ys))
-    tagged = ways.where(F.col("points").isNotNull() & tag_predicate(query))
-    lines = tagged.join(tagged.where(boxed).select("id", "kind", "points").mapInPandas(run, "id bigint"), "id", "left_semi")
-    wanted = relations.where(tag_predicate(query))
-    areas = wanted.join(relation_geometry(wanted, ways, polygon).where("meets"), "id", "left_semi")
-    return nodes.unionByName(lines.select(F.lit("way").alias("element"), "id", "tags")).unionByName(areas.select(F.lit("relation").alias("element"), "id", "tags"))
-
-
-def first_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    fits = tag_predicate(query) if query else F.coalesce(F.size("tags") > 0, F.lit(False))
+    tagged, wanted = ways.where(F.col("points").isNotNull() & fits), relations.where(fits)
+    if polygons is None:
+        nodes, lines = points.where(fits), tagged
+        areas = wanted.join(relation_geometry(wanted, ways).where("wkt IS NOT NULL"), "id", "left_semi")
+    else:
+        parts = as_parts(polygons)
+        nodes = points.where(inside_parts(F.col("x"), F.col("y"), parts) & fits)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                met = [any(meets_polygon([[(q["x"], q["y"]) for q in p]], kind == "Polygon", one) for one in parts) for p, kind in zip(batch["points"], batch["kind"])]
+                yield batch.loc[met, ["id"]]
+
+        corners = [p for part in parts for p in part[0]]
+        xs, ys = [p[0] for p in corners], [p[1] for p in corners]
+        axis = lambda c: F.transform("points", lambda p: p[c])
+        boxed = (F.array_min(axis("x")) <= max(xs)) & (F.array_max(axis("x")) >= min(xs)) & (F.array_min(axis("y")) <= max(ys)) & (F.array_max(axis("y")) >= min(ys))
+        lines = tagged.join(tagged.where(boxed).select("id", "kind", "points").mapInPandas(run, "id bigint"), "id", "left_semi")
+        areas = wanted.join(relation_geometry(wanted, ways, parts).where("meets"), "id", "left_semi")
+    named = lambda rows, kind: rows.select(F.lit(kind).alias("element"), "id", "tags")
+    return named(nodes, "node").unionByName(named(lines, "way")).unionByName(named(areas, "relation"))
 
 
 def used_tag_keys(features: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ def keep_nodes(graph: StreetGraph, kept: DataFrame) -> StreetGraph:
     return graph.with_(nodes=graph.nodes.join(ids, "osmid", "left_semi"), edges=edges.select(*graph.edges.columns))
 
 
-def _truncate(graph: StreetGraph, inside: Column, by_edge: bool) -> StreetGraph:
+def truncate_where(graph: StreetGraph, inside: Column, by_edge: bool) -> StreetGraph:
+    """Nodes for which ``inside`` holds; with ``by_edge`` also their neighbours."""
     kept = graph.nodes.where(inside).select("osmid")
     if by_edge:  # also the outer ends of edges that start or end inside
         links = graph.edges.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("_e")).select("_e.a", "_e.b")
@@ -29,12 +30,12 @@ def _truncate(graph: StreetGraph, inside: Column, by_edge: bool) -> StreetGraph:
 def truncate_bbox(graph: StreetGraph, bbox: tuple[float, float, float, float], by_edge: bool = False) -> StreetGraph:
     """Nodes in the closed box (left, bottom, right, top); the box reaches the scan as a pushed filter."""
     left, bottom, right, top = bbox
-    return _truncate(graph, F.col("x").between(left, right) & F.col("y").between(bottom, top), by_edge)
+    return truncate_where(graph, F.col("x").between(left, right) & F.col("y").between(bottom, top), by_edge)
 
 
 def truncate_polygon(graph: StreetGraph, polygon: list[list[tuple[float, float]]], by_edge: bool = False) -> StreetGraph:
     """Nodes in or on a polygon (shell first, then holes)."""
-    return _truncate(graph, inside_polygon(F.col("x"), F.col("y"), polygon), by_edge)
+    return truncate_where(graph, inside_polygon(F.col("x"), F.col("y"), polygon), by_edge)
 
 
 def truncate_dist(graph: StreetGraph, source: int, dist: float, weight: str = "length") -> StreetGraph:

@@ -9,9 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadframe.operators import build, features
+from roadframe.operators import build, entry, features
 from roadframe.plans.base import CURRENT_SQL, haversine
-from roadframe.session import materialize, shared_dir
+from roadframe.session import shared_dir
 from roadframe.sources.tables import current_elements, table
 from roadframe.streaming.snap import windowed_counts
 
@@ -55,17 +55,6 @@ def features_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     return features.features_in_polygon(points, _SHAPE, {"amenity": True}).select("id")
 
 
-@query()
-def features_from_polygon(spark: SparkSession, d: str) -> DataFrame:
-    elements = table(spark, d, "elements")
-    rows = current_elements(elements.where(F.col("type") == "node"), "lat", "lon", "tags").where("visible AND lat IS NOT NULL AND lon IS NOT NULL")
-    points = rows.select("id", F.col("lon").alias("x"), F.col("lat").alias("y"), "tags")
-    relations = current_elements(elements.where(F.col("type") == "relation"), "members", "tags").where("visible")
-    ways = materialize(_ways(spark, d), "ways")
-    query = {"amenity": True, "building": True, "landuse": True, "highway": True}
-    return features.features_meeting_polygon(points, ways, relations, _SHAPE, query).select("element", "id")
-
-
 @query("""SELECT type element, id, extract_id FROM (SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY ingested_at, version, extract_id) rn,
     rank() OVER (PARTITION BY type, id ORDER BY ingested_at, version, extract_id) FROM elements) WHERE rn = 1""")
 def features_first_seen(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +93,27 @@ def way_geometry(spark: SparkSession, d: str) -> DataFrame:
     return _ways(spark, d).where("points IS NOT NULL").select("id", F.round(line_length(F.col("points")), 2).alias("length"))
 
 
+_FEATURE_TAGS: dict[str, bool | str | list[str]] = {"amenity": True, "building": True, "landuse": True, "highway": True}
+
+
+@query()
+def features_from_polygon(spark: SparkSession, d: str) -> DataFrame:
+    return entry.features_from_polygon(table(spark, d, "elements"), _SHAPE, _FEATURE_TAGS).select("element", "id")
+
+
+@query(_LINES + f""", box AS (SELECT -60.0 x0, -40.0 y0, 60.0 x1, 45.0 y1),
+g AS (SELECT id, kind FROM wk JOIN (SELECT id FROM p GROUP BY id HAVING count(*) >= 2 AND count(*) = count(x)) USING (id)),
+cr AS (SELECT seg.id, x, y, x2, y2, x0, y0, x1, y1, (x2 - x) * (y0 - y) - (y2 - y) * (x0 - x) a, (x2 - x) * (y0 - y) - (y2 - y) * (x1 - x) b,
+    (x2 - x) * (y1 - y) - (y2 - y) * (x0 - x) c, (x2 - x) * (y1 - y) - (y2 - y) * (x1 - x) d FROM seg, box WHERE x2 IS NOT NULL),
+met AS (SELECT id FROM cr WHERE greatest(x, x2) >= x0 AND least(x, x2) <= x1 AND greatest(y, y2) >= y0 AND least(y, y2) <= y1 AND least(a, b, c, d) <= 0 AND greatest(a, b, c, d) >= 0),
+around AS (SELECT id FROM cr WHERE (y <= y0) <> (y2 <= y0) AND x + (y0 - y) / (y2 - y) * (x2 - x) > x0 GROUP BY id HAVING count(*) % 2 = 1)
+SELECT 'node' element, osmid id FROM en WHERE x BETWEEN -60 AND 60 AND y BETWEEN -40 AND 45 AND (tags['building'] IS NOT NULL OR tags['highway'] IS NOT NULL)
+UNION ALL SELECT 'way', id FROM g JOIN w USING (id) WHERE (tags['building'] IS NOT NULL OR tags['highway'] IS NOT NULL)
+  AND (id IN (SELECT id FROM met) OR (kind = 'Polygon' AND id IN (SELECT id FROM around)))""")
+def features_from_bbox(spark: SparkSession, d: str) -> DataFrame:
+    return entry.features_from_bbox(table(spark, d, "elements"), (-60.0, -40.0, 60.0, 45.0), {"building": True, "highway": True}).select("element", "id")
+
+
 @query()
 def relation_geometry(spark: SparkSession, d: str) -> DataFrame:
     rows = current_elements(table(spark, d, "elements").where(F.col("type") == "relation"), "members", "tags").where("visible")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roadframe.functions import geo
 from roadframe.functions.maxspeed import IMPLICIT_KPH, clean_maxspeed
 from roadframe.model import StreetGraph
-from roadframe.operators import attributes, build, convert, filters, nearest, paths, sampling, simplify, stats, truncate
+from roadframe.operators import attributes, build, convert, entry, filters, nearest, paths, sampling, simplify, stats, truncate
 from roadframe.plans.base import CURRENT_SQL, GRAPH_SQL, bearing_sql, edges, graph, haversine, nodes
 from roadframe.sources import osm
 from roadframe.sources.tables import current_elements, table
@@ -110,6 +110,54 @@ def length_by_highway(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("highway").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("length"), 2).alias("length"))
 
 
+# ---- graphs of a place ---------------------------------------------------------
+
+_PLACE = [[(-120.0, -50.0), (150.0, -50.0), (150.0, 60.0), (-120.0, 60.0), (-120.0, -50.0)], [(-10.0, -10.0), (10.0, -10.0), (10.0, 10.0), (-10.0, 10.0), (-10.0, -10.0)]]
+_EDGES = _SEGMENTS + f""", es AS (SELECT u, v, (row_number() OVER (PARTITION BY u, v ORDER BY way, reversed, seq) - 1)::INTEGER key, way osmid,
+    round({haversine('a.y', 'a.x', 'b.y', 'b.x')}, 3) length, a.x ux, a.y uy, b.x vx, b.y vy FROM seg JOIN en a ON a.osmid = u JOIN en b ON b.osmid = v)"""
+_IN = "(X BETWEEN -120 AND 150 AND Y BETWEEN -50 AND 60 AND NOT (X > -10 AND X < 10 AND Y > -10 AND Y < 10))"
+
+
+@query(_EDGES + f" SELECT u, v, key, osmid, length FROM es WHERE {_IN.replace('X', 'ux').replace('Y', 'uy')} AND {_IN.replace('X', 'vx').replace('Y', 'vy')}")
+def graph_from_polygon(spark: SparkSession, d: str) -> DataFrame:
+    made = entry.graph_from_polygon(table(spark, d, "elements"), _PLACE, simplified=False, retain_all=True)
+    return made.edges.select("u", "v", "key", "osmid", F.round("length", 3).alias("length"))
+
+
+@query()
+def graph_from_polygon_streets(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pipeline: largest component, simplified, with street counts."""
+    made = entry.graph_from_polygon(table(spark, d, "elements"), _PLACE, "drive_service")
+    return made.nodes.select("osmid", "x", "y", "street_count")
+
+
+@query(_EDGES + """, i AS (SELECT osmid FROM en WHERE x BETWEEN -60 AND 60 AND y BETWEEN -40 AND 45),
+    k AS (SELECT osmid FROM i UNION SELECT v FROM es WHERE u IN (SELECT osmid FROM i) UNION SELECT u FROM es WHERE v IN (SELECT osmid FROM i))
+    SELECT u, v, key, osmid, length FROM es WHERE u IN (SELECT osmid FROM k) AND v IN (SELECT osmid FROM k)""")
+def graph_from_bbox(spark: SparkSession, d: str) -> DataFrame:
+    made = entry.graph_from_bbox(table(spark, d, "elements"), (-60.0, -40.0, 60.0, 45.0), simplified=False, retain_all=True, truncate_by_edge=True)
+    return made.edges.select("u", "v", "key", "osmid", F.round("length", 3).alias("length"))
+
+
+def _area_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The areas as saved geocoding answers: their names are the queries."""
+    ring = lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))
+    shape = F.to_json(F.struct(F.transform("polygons", lambda part: F.transform(part, ring)).alias("c")))
+    text = F.concat(F.lit('[{"lat": "0", "lon": "0", "importance": 1, "geojson": {"type": "MultiPolygon", "coordinates": '), F.substring_index(F.substring(shape, 6, 1 << 30), "}", 1), F.lit("}}]"))
+    return osm.geocode_answers(table(spark, d, "areas").select(F.col("area_id").cast("string").alias("query"), text.alias("body")))
+
+
+@query(_EDGES + """, rg AS (SELECT area_id, part, unnest(p) ring FROM (SELECT area_id, unnest(polygons) p, unnest(range(len(polygons))) part FROM areas)),
+    sd AS (SELECT area_id, part, ring[i].x x1, ring[i].y y1, ring[i + 1].x x2, ring[i + 1].y y2 FROM (SELECT area_id, part, ring, unnest(range(1, len(ring))) i FROM rg)),
+    k AS (SELECT DISTINCT osmid FROM (SELECT osmid, area_id, part FROM en JOIN sd ON (y1 <= y) <> (y2 <= y) AND x1 + (y - y1) / (y2 - y1) * (x2 - x1) > x GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1))
+    SELECT u, v, key, osmid, length FROM es WHERE u IN (SELECT osmid FROM k) AND v IN (SELECT osmid FROM k)""")
+def graph_from_place(spark: SparkSession, d: str) -> DataFrame:
+    """All areas together as one place."""
+    names = [str(r["area_id"]) for r in table(spark, d, "areas").select("area_id").distinct().orderBy("area_id").collect()]  # the places asked for
+    made = entry.graph_from_place(table(spark, d, "elements"), _area_answers(spark, d), names, which_result=1, simplified=False, retain_all=True)
+    return made.edges.select("u", "v", "key", "osmid", F.round("length", 3).alias("length"))
+
+
 # ---- attributes ---------------------------------------------------------------
 
 @query(G + f" SELECT u, v, key, round({haversine('uy', 'ux', 'vy', 'vx')}, 3) length FROM gx")

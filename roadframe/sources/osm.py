@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -214,3 +215,50 @@ def require_rows(rows: DataFrame, what: str) -> DataFrame:
     if rows.isEmpty():
         raise InsufficientResponseError(f"no {what} was found")
     return rows
+
+
+ANSWER = ("array<struct<osm_type:string,osm_id:bigint,lat:string,lon:string,importance:double,display_name:string,boundingbox:array<string>,"
+          "geojson:struct<type:string,coordinates:string>>>")
+
+
+def geocode_answers(saved: DataFrame) -> DataFrame:
+    """Rows of saved geocoding answers ``(query, body)``, each body a JSON list: one row per result, numbered by ``ord``.
+
+    ``bbox_west, bbox_south, bbox_east, bbox_north`` come from the answer's (south, north, west, east).
+    """
+    rows = saved.select("query", F.posexplode(F.from_json("body", ANSWER)).alias("ord", "r"))
+    box = lambda i, name: F.get("r.boundingbox", F.lit(i)).try_cast("double").alias(name)
+    return rows.select("query", "ord", "r.osm_type", "r.osm_id", F.col("r.lat").try_cast("double").alias("lat"), F.col("r.lon").try_cast("double").alias("lon"),
+                       "r.importance", "r.display_name", F.col("r.geojson.type").alias("geom_type"), F.col("r.geojson.coordinates").alias("coordinates"),
+                       box(2, "bbox_west"), box(0, "bbox_south"), box(3, "bbox_east"), box(1, "bbox_north"))
+
+
+def geocode(answers: DataFrame, query: str) -> tuple[float, float]:
+    """(lat, lon) of the first result of a query; ``InsufficientResponseError`` without one."""
+    row = answers.where((F.col("query") == query) & F.col("lat").isNotNull() & F.col("lon").isNotNull()).orderBy("ord").select("lat", "lon").first()
+    if row is None:
+        raise InsufficientResponseError(f"nothing was found for {query!r}")
+    return row["lat"], row["lon"]
+
+
+def geocode_places(answers: DataFrame, queries: str | list[str], which_result: int | None = None) -> DataFrame:
+    """One result per query, all columns: the given rank by importance (from 1), else the best with an area."""
+    wanted = [queries] if isinstance(queries, str) else list(queries)
+    return pick_geocode(answers.where(F.col("query").isin(wanted)), which_result)
+
+
+def geocode_polygons(answers: DataFrame, queries: str | list[str], which_result: int | None = None) -> list:
+    """The polygons of all queries' results; a query without an area raises."""
+    wanted = [queries] if isinstance(queries, str) else list(queries)
+    rows = geocode_places(answers, wanted, which_result).select("query", "geom_type", "coordinates").collect()  # one row per query
+    found = {r["query"]: r for r in rows}
+    parts: list = []
+    for query in wanted:
+        row = found.get(query)
+        if row is None:
+            raise InsufficientResponseError(f"no area was found for {query!r}")
+        if row["geom_type"] not in ("Polygon", "MultiPolygon"):
+            raise TypeError(f"{query!r} is a {row['geom_type']}, not an area")
+        shape = json.loads(row["coordinates"])
+        parts += [shape] if row["geom_type"] == "Polygon" else shape
+    return [[[(float(x), float(y)) for x, y, *_ in ring] for ring in part] for part in parts]
