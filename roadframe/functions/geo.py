@@ -55,7 +55,8 @@ def bbox_from_point(lat: ColumnLike, lon: ColumnLike, dist: float, radius: float
 _A, _F, _K0 = 6_378_137.0, 1 / 298.257223563, 0.9996
 _N = _F / (2 - _F)
 _RECT = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
-_ALPHA = (_N / 2 - 2 / 3 * _N**2 + 5 / 16 * _N**3, 13 / 48 * _N**2 - 3 / 5 * _N**3, 61 / 240 * _N**3)
+_ALPHA = (_N / 2 - 2 / 3 * _N**2 + 5 / 16 * _N**3 + 41 / 180 * _N**4, 13 / 48 * _N**2 - 3 / 5 * _N**3 + 557 / 1440 * _N**4,
+          61 / 240 * _N**3 - 103 / 140 * _N**4, 49561 / 161280 * _N**4)
 
 
 def utm_epsg(lon: float, lat: float) -> int:

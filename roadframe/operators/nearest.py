@@ -35,7 +35,7 @@ def _shift(name: str, by: int, axes: int):
 def nearest_nodes(nodes: DataFrame, points: DataFrame, projected: bool = False, cell: float = 200.0) -> DataFrame:
     """``(point_id, osmid, dist)`` for rows ``(point_id, x, y)``: metres on the sphere, or planar units when projected.
 
-    Equal distances: the smallest osmid. Points without coordinates get a null node.
+    Equal distances (to a micrometre): the smallest osmid. Points without coordinates get a null node.
     """
     def place(df: DataFrame) -> DataFrame:
         usable = df.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
@@ -55,7 +55,7 @@ def nearest_nodes(nodes: DataFrame, points: DataFrame, projected: bool = False,
         size = cell
         keyed = index.withColumn("cell", _cells(*[F.col(f"p{a}") / size for a in axes]))
         probes = open_.withColumn("cell", F.explode(_around(_cells(*[F.col(f"q{a}") / size for a in axes]), len(axes))))
-        best = probes.join(keyed, "cell").groupBy("point_id").agg(F.min(F.struct(d2.alias("d2"), F.col("osmid"), dist.alias("dist"))).alias("b"))
+        best = probes.join(keyed, "cell").groupBy("point_id").agg(F.min(F.struct(F.round(dist, 6).alias("near"), F.col("osmid"), dist.alias("dist"), d2.alias("d2"))).alias("b"))
         found = materialize(open_.join(best, "point_id", "left").select(*open_.columns, "b.d2", "b.osmid", "b.dist"), "found")
         settled = F.coalesce(F.sqrt("d2") <= size, F.lit(False))
         done.append(found.where(settled).select("point_id", "osmid", "dist"))
@@ -73,7 +73,7 @@ def nearest_nodes(nodes: DataFrame, points: DataFrame, projected: bool = False,
 def nearest_edges(edges: DataFrame, points: DataFrame, cell: float = 0.002) -> DataFrame:
     """``(point_id, u, v, key, dist)``: planar distance to the edge's ``geometry`` in coordinate units, whatever they are.
 
-    Every segment is listed in the cells its box touches, on a grid as coarse as it is long; equal distances: the smallest (u, v, key).
+    Every segment is listed in the cells its box touches, on a grid as coarse as it is long; equal distances (to ten decimals): the smallest (u, v, key).
     """
     legs = F.zip_with(F.slice("geometry", 1, F.size("geometry") - 1), F.slice("geometry", 2, F.size("geometry") - 1),
                       lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
@@ -99,7 +99,7 @@ def nearest_edges(edges: DataFrame, points: DataFrame, cell: float = 0.002) -> D
         near = lambda q: F.sequence(F.floor((q - cell) / F.col("size")), F.floor((q + cell) / F.col("size")))
         probes = open_.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("size", F.pow(F.lit(4.0), "level") * cell).drop("level")
         probes = probes.withColumn("i", F.explode(near(F.col("qx")))).withColumn("j", F.explode(near(F.col("qy"))))
-        best = probes.join(keyed, ["size", "i", "j"]).where(dist <= cell).groupBy("point_id").agg(F.min(F.struct(dist.alias("dist"), "u", "v", "key")).alias("b"))
+        best = probes.join(keyed, ["size", "i", "j"]).where(dist <= cell).groupBy("point_id").agg(F.min(F.struct(F.round(dist, 10).alias("near"), "u", "v", "key", dist.alias("dist"))).alias("b"))
         found = materialize(open_.join(best, "point_id", "left").select(*open_.columns, "b.dist", "b.u", "b.v", "b.key"), "found")
         settled = F.coalesce(F.col("dist") <= cell, F.lit(False))
         done.append(found.where(settled).select("point_id", "u", "v", "key", "dist"))

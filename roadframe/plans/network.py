@@ -222,45 +222,29 @@ def elevation_batches(spark: SparkSession, d: str) -> DataFrame:
     return attributes.elevation_batches(nodes(spark, d)).select("batch", "n", F.size(F.split("locations", r"\|")).alias("n_places"))
 
 
-_SERIES = geo._ALPHA
-
-
-def _utm_sql(epsg: int) -> str:
-    import math
-
-    south, zone = divmod(epsg - 32600, 100)
-    n, e = geo._N, 2 * math.sqrt(geo._N) / (1 + geo._N)
-    x = "eta" + "".join(f" + {a!r} * cos({2 * j} * xi) * (exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2" for j, a in enumerate(_SERIES, 1))
-    y = "xi" + "".join(f" + {a!r} * sin({2 * j} * xi) * (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2" for j, a in enumerate(_SERIES, 1))
-    return f""", q AS (SELECT osmid, radians(y) phi, radians(x - ({zone * 6 - 183})) lam FROM gn WHERE x BETWEEN {zone * 6 - 186} AND {zone * 6 - 180} AND y BETWEEN -80 AND 84),
-      tt AS (SELECT osmid, lam, atanh(sin(phi)) - {e!r} * atanh({e!r} * sin(phi)) s FROM q),
-      t2 AS (SELECT osmid, lam, (exp(s) - exp(-s)) / 2 t FROM tt),
-      xe AS (SELECT osmid, atan2(t, cos(lam)) xi, atanh(sin(lam) / sqrt(1 + t * t)) eta FROM t2)
-      SELECT osmid, round(500000.0 + {geo._K0 * geo._RECT!r} * ({x}), 3) x, round({10_000_000.0 if south else 0.0} + {geo._K0 * geo._RECT!r} * ({y}), 3) y FROM xe"""
-
-
-@query(G + _utm_sql(32631))
+# transverse Mercator of the usual ellipsoid by its series, with plain numbers: eccentricity, scaled radius and the terms that reach a millimetre
+_UTM = """, z AS (SELECT osmid, y, least(floor((x + 180) / 6)::INTEGER + 1, 60) zone, radians(y) phi, x FROM gn WHERE y BETWEEN -80 AND 84),
+    q AS (SELECT osmid, CASE WHEN y < 0 THEN 32700 ELSE 32600 END + zone epsg, phi, radians(x - (zone * 6 - 183)) lam FROM z),
+    tt AS (SELECT osmid, epsg, lam, atanh(sin(phi)) - 0.08181919084262149 * atanh(0.08181919084262149 * sin(phi)) s FROM q),
+    t2 AS (SELECT osmid, epsg, lam, (exp(s) - exp(-s)) / 2 t FROM tt),
+    xe AS (SELECT osmid, epsg, atan2(t, cos(lam)) xi, atanh(sin(lam) / sqrt(1 + t * t)) eta FROM t2),
+    hy AS (SELECT *, (exp(2 * eta) - exp(-2 * eta)) / 2 s2, (exp(2 * eta) + exp(-2 * eta)) / 2 c2, (exp(4 * eta) - exp(-4 * eta)) / 2 s4, (exp(4 * eta) + exp(-4 * eta)) / 2 c4,
+      (exp(6 * eta) - exp(-6 * eta)) / 2 s6, (exp(6 * eta) + exp(-6 * eta)) / 2 c6, (exp(8 * eta) - exp(-8 * eta)) / 2 s8, (exp(8 * eta) + exp(-8 * eta)) / 2 c8 FROM xe),
+    pr AS (SELECT osmid, epsg, round(500000 + RADIUS * (eta + A1 * cos(2 * xi) * s2 + A2 * cos(4 * xi) * s4 + A3 * cos(6 * xi) * s6 + A4 * cos(8 * xi) * s8), 3) x,
+      round(CASE WHEN epsg > 32700 THEN 10000000 ELSE 0 END + RADIUS * (xi + A1 * sin(2 * xi) * c2 + A2 * sin(4 * xi) * c4 + A3 * sin(6 * xi) * c6 + A4 * sin(8 * xi) * c8), 3) y FROM hy)
+    SELECT osmid, epsg, pr.x, pr.y FROM gn LEFT JOIN pr USING (osmid)"""
+for _mark, _number in (("RADIUS", "6364902.166165086"), ("A1", "0.00083773182062446983"), ("A2", "0.00000076085277735726"), ("A3", "0.0000000011976455033"), ("A4", "0.0000000000024291706072")):
+    _UTM = _UTM.replace(_mark, _number)
+
+
+@query(G + _UTM)
 def utm_project(spark: SparkSession, d: str) -> DataFrame:
-    zone = nodes(spark, d).where("x BETWEEN 0 AND 6 AND y BETWEEN -80 AND 84")
-    return attributes.project_nodes(zone, 32631).select("osmid", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
-
-
-def _own_zone_sql() -> str:
-    # the SQL of one zone, given the zone and the hemisphere of each node
-    one = _utm_sql(32601).replace("radians(x - (-177))", "radians(x - (zone * 6 - 183))").replace("x BETWEEN -180 AND -174 AND ", "")
-    one = one.replace("q AS (SELECT osmid,", "z AS (SELECT *, least(floor((x + 180) / 6)::INTEGER + 1, 60) zone FROM gn), q AS (SELECT osmid, CASE WHEN y < 0 THEN 32700 ELSE 32600 END + zone epsg,").replace("FROM gn WHERE", "FROM z WHERE")
-    one = one.replace("SELECT osmid, lam,", "SELECT osmid, epsg, lam,").replace("SELECT osmid, atan2", "SELECT osmid, epsg, atan2").replace("SELECT osmid, round(", "SELECT osmid, epsg, round(").replace("round(0.0 + ", "round(CASE WHEN epsg > 32700 THEN 10000000.0 ELSE 0.0 END + ")
-    head, tail = one.rsplit("SELECT osmid, epsg, round(", 1)
-    return f"{head}, pr AS (SELECT osmid, epsg, round({tail}) SELECT osmid, epsg, pr.x, pr.y FROM gn LEFT JOIN pr USING (osmid)"
-
-
-@query(G + _own_zone_sql())
-def utm_project_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every node in the zone of its own longitude and hemisphere."""
     return attributes.project_nodes_by_zone(nodes(spark, d)).select("osmid", "epsg", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query(G + f""" SELECT osmid, round(x - {__import__('math').degrees(500 / 6371009)!r} / cos(radians(y)), 9) "left", round(y - {__import__('math').degrees(500 / 6371009)!r}, 9) bottom,
-    round(x + {__import__('math').degrees(500 / 6371009)!r} / cos(radians(y)), 9) "right", round(y + {__import__('math').degrees(500 / 6371009)!r}, 9) top FROM gn""")
+@query(G + f""" SELECT osmid, round(x - 0.004496601677418 / cos(radians(y)), 9) "left", round(y - 0.004496601677418, 9) bottom,
+    round(x + 0.004496601677418 / cos(radians(y)), 9) "right", round(y + 0.004496601677418, 9) top FROM gn""")
 def bbox_from_point(spark: SparkSession, d: str) -> DataFrame:
     box = geo.bbox_from_point(F.col("y"), F.col("x"), 500.0)
     return nodes(spark, d).select("osmid", box.alias("b")).select("osmid", *[F.round(f"b.{c}", 9).alias(c) for c in ("left", "bottom", "right", "top")])
@@ -449,43 +433,25 @@ def truncate_polygon(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- nearest, components, paths -----------------------------------------------
 
-def _query_points(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(spark, d).where("osmid % 10 = 3").select(F.col("osmid").alias("point_id"), (F.col("x") + 0.0007).alias("x"), (F.col("y") - 0.0004).alias("y"))
-
-
-@query(G + f""", q AS (SELECT osmid point_id, x + 0.0007 x, y - 0.0004 y FROM gn WHERE osmid % 10 = 3),
-    c AS (SELECT point_id, osmid, {haversine('q.y', 'q.x', 'g.y', 'g.x')} dist FROM q, gn g WHERE abs(q.y - g.y) < 5)
-    SELECT point_id, round(min(dist), 3) dist FROM c GROUP BY point_id""")
-def nearest_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nearest.nearest_nodes(nodes(spark, d), _query_points(spark, d)).select("point_id", F.round("dist", 3).alias("dist"))
-
-
-@query(G + """, q AS (SELECT osmid point_id, x + 0.0007 px, y - 0.0004 py FROM gn WHERE osmid % 10 = 3),
-    s AS (SELECT ux, uy, vx - ux dx, vy - uy dy FROM gx),
-    c AS (SELECT point_id, px, py, ux, uy, dx, dy, greatest(0, least(1, coalesce(((px - ux) * dx + (py - uy) * dy) / nullif(dx * dx + dy * dy, 0), 0))) t FROM q JOIN s ON px BETWEEN least(ux, ux + dx) - 1 AND greatest(ux, ux + dx) + 1 AND py BETWEEN least(uy, uy + dy) - 1 AND greatest(uy, uy + dy) + 1)
-    SELECT point_id, round(min(sqrt(power(ux + t * dx - px, 2) + power(uy + t * dy - py, 2))), 9) dist FROM c GROUP BY point_id""")
-def nearest_edges(spark: SparkSession, d: str) -> DataFrame:
-    lines = convert.edge_points(graph(spark, d))
-    return nearest.nearest_edges(lines, _query_points(spark, d)).select("point_id", F.round("dist", 9).alias("dist"))
-
-
-def _all_points(spark: SparkSession, d: str) -> DataFrame:
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    """A place a little off every node."""
     return nodes(spark, d).select(F.col("osmid").alias("point_id"), (F.col("x") + 0.0007).alias("x"), (F.col("y") - 0.0004).alias("y"))
 
 
 @query(G + f""", q AS (SELECT osmid point_id, x + 0.0007 x, y - 0.0004 y FROM gn),
     c AS (SELECT point_id, osmid, {haversine('q.y', 'q.x', 'g.y', 'g.x')} dist FROM q, gn g)
-    SELECT point_id, round(min(dist), 3) dist FROM c GROUP BY point_id""")
-def nearest_nodes_all(spark: SparkSession, d: str) -> DataFrame:
-    return nearest.nearest_nodes(nodes(spark, d), _all_points(spark, d)).select("point_id", F.round("dist", 3).alias("dist"))
+    SELECT point_id, osmid, round(dist, 3) dist FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(dist, 6), osmid) r FROM c) WHERE r = 1""")
+def nearest_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return nearest.nearest_nodes(nodes(spark, d), _points(spark, d)).select("point_id", "osmid", F.round("dist", 3).alias("dist"))
 
 
 @query(_LINES + """, q AS (SELECT osmid point_id, x + 0.0007 px, y - 0.0004 py FROM gn),
-    c AS (SELECT point_id, px, py, ux, uy, dx, dy, greatest(0, least(1, coalesce(((px - ux) * dx + (py - uy) * dy) / nullif(dx * dx + dy * dy, 0), 0))) t FROM q, sg)
-    SELECT point_id, round(min(sqrt(power(ux + t * dx - px, 2) + power(uy + t * dy - py, 2))), 9) dist FROM c GROUP BY point_id""")
-def nearest_edge_lines(spark: SparkSession, d: str) -> DataFrame:
+    c AS (SELECT point_id, u, v, key, px, py, ux, uy, dx, dy, greatest(0, least(1, coalesce(((px - ux) * dx + (py - uy) * dy) / nullif(dx * dx + dy * dy, 0), 0))) t FROM q, sg),
+    e AS (SELECT point_id, u, v, key, sqrt(power(ux + t * dx - px, 2) + power(uy + t * dy - py, 2)) dist FROM c)
+    SELECT point_id, u, v, key, round(dist, 9) dist FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(dist, 10), u, v, key) r FROM e) WHERE r = 1""")
+def nearest_edges(spark: SparkSession, d: str) -> DataFrame:
     lines = convert.edge_points(graph(spark, d, geometry=True))
-    return nearest.nearest_edges(lines, _all_points(spark, d)).select("point_id", F.round("dist", 9).alias("dist"))
+    return nearest.nearest_edges(lines, _points(spark, d)).select("point_id", "u", "v", "key", F.round("dist", 9).alias("dist"))
 
 
 _COMPONENTS = "WITH RECURSIVE " + GRAPH_SQL + """, l AS (SELECT u a, v b FROM ge UNION SELECT v, u FROM ge),
@@ -530,41 +496,30 @@ def truncate_dist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    ends = nodes(spark, d).where("osmid % 10 = 3").select(F.col("osmid").alias("route_id"), F.col("osmid").alias("dest"))
-    return ends.withColumn("orig", F.lit(_hub(spark, d)))
+    """From the node with most edges to every node."""
+    return nodes(spark, d).select(F.col("osmid").alias("route_id"), F.lit(_hub(spark, d)).alias("orig"), F.col("osmid").alias("dest"))
 
 
-@query(_DIST + " SELECT gn.osmid route_id, round(dist, 3) AS cost FROM gn LEFT JOIN best USING (osmid) WHERE gn.osmid % 10 = 3")
+@query(_DIST + " SELECT gn.osmid route_id, round(dist, 3) AS cost FROM gn LEFT JOIN best USING (osmid)")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return paths.shortest_paths(_pairs(spark, d), edges(spark, d)).select("route_id", F.round("cost", 3).alias("cost"))
 
 
-@query(_DIST + " SELECT gn.osmid route_id, round(dist, 1) AS length FROM gn JOIN best USING (osmid) WHERE gn.osmid % 10 = 3 AND dist > 0")
+@query(_DIST + " SELECT gn.osmid route_id, round(dist, 3) AS length, true AS joined FROM gn JOIN best USING (osmid) WHERE dist > 0")
 def route_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Length of each route's edges, and whether every edge starts where the one before ends, from the origin to the destination."""
     lines = edges(spark, d)
     routes = paths.shortest_paths(_pairs(spark, d), lines)
-    return convert.route_edges(routes, lines).groupBy("route_id").agg(F.round(F.sum("length"), 1).alias("length"))
-
-
-def _all_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(spark, d).select(F.col("osmid").alias("route_id"), F.lit(_hub(spark, d)).alias("orig"), F.col("osmid").alias("dest"))
-
-
-@query(_DIST + " SELECT gn.osmid route_id, round(dist, 3) AS cost FROM gn LEFT JOIN best USING (osmid)")
-def shortest_path_all(spark: SparkSession, d: str) -> DataFrame:
-    return paths.shortest_paths(_all_pairs(spark, d), edges(spark, d)).select("route_id", F.round("cost", 3).alias("cost"))
-
-
-@query(_DIST + " SELECT gn.osmid route_id, round(dist, 3) AS length FROM gn JOIN best USING (osmid) WHERE dist > 0")
-def route_edges_all(spark: SparkSession, d: str) -> DataFrame:
-    lines = edges(spark, d)
-    routes = paths.shortest_paths(_all_pairs(spark, d), lines)
-    return convert.route_edges(routes, lines).groupBy("route_id").agg(F.round(F.sum("length"), 3).alias("length"))
+    steps = convert.route_edges(routes, lines).groupBy("route_id").agg(F.round(F.sum("length"), 3).alias("length"), F.array_sort(F.collect_list(F.struct("pos", "u", "v"))).alias("s"))
+    heads, tails = F.transform("s", lambda x: x["u"]), F.transform("s", lambda x: x["v"])
+    chained = F.slice(heads, 2, F.size("s") - 1) == F.slice(tails, 1, F.size("s") - 1)
+    ends = (F.get(heads, F.lit(0)) == _hub(spark, d)) & (F.element_at(tails, -1) == F.col("route_id"))
+    return steps.select("route_id", "length", (chained & ends).alias("joined"))
 
 
 @query()
 def k_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    return paths.shortest_paths(_all_pairs(spark, d), edges(spark, d), k=3).select("route_id", "rank", F.round("cost", 3).alias("cost"), F.size("nodes").alias("n_nodes"))
+    return paths.shortest_paths(_pairs(spark, d), edges(spark, d), k=3).select("route_id", "rank", F.round("cost", 3).alias("cost"), F.size("nodes").alias("n_nodes"))
 
 
 # ---- topology -----------------------------------------------------------------
@@ -601,22 +556,17 @@ def sample_points(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_points(convert.edge_points(graph(spark, d, geometry=True)), 1000, seed=7)
 
 
-@query(G + """ SELECT u, v, key, (greatest(round_even(sqrt(power(vx - ux, 2) + power(vy - uy, 2)) / 0.01, 0), 1) + 1)::INTEGER n_points FROM gx""")
-def interpolate_points(spark: SparkSession, d: str) -> DataFrame:
-    lines = convert.edge_points(graph(spark, d))
-    return geo.interpolate_lines(lines, 0.01, ["u", "v", "key"]).select("u", "v", "key", F.size("points").alias("n_points"))
-
-
 @query(_LINES + " SELECT u, v, key, (greatest(round_even(sum(sqrt(dx * dx + dy * dy)) / 0.01, 0), 1) + 1)::INTEGER n_points FROM sg GROUP BY u, v, key")
-def interpolate_lines(spark: SparkSession, d: str) -> DataFrame:
+def interpolate_points(spark: SparkSession, d: str) -> DataFrame:
     lines = convert.edge_points(graph(spark, d, geometry=True))
     return geo.interpolate_lines(lines, 0.01, ["u", "v", "key"]).select("u", "v", "key", F.size("points").alias("n_points"))
 
 
-@query(G + """ SELECT ord, len(string_split(regexp_extract(geom_wkt, '\\(([^()]*)\\)', 1), ','))::INTEGER n_points FROM ge WHERE geom_wkt IS NOT NULL""")
+@query(_LINES + """ SELECT ord, i::INTEGER pos, round(p[i].x, 9) x, round(p[i].y, 9) y FROM (SELECT ord, p, unnest(range(1, len(p) + 1)) i FROM ln WHERE geom_wkt IS NOT NULL)""")
 def edge_geometry(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d, geometry=True)
-    return g.edges.where("geom_wkt IS NOT NULL").select("ord", F.size("geometry").alias("n_points"))
+    rows = g.edges.where("geom_wkt IS NOT NULL").select("ord", F.posexplode("geometry").alias("pos", "p"))
+    return rows.select("ord", (F.col("pos") + 1).alias("pos"), F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"))
 
 
 # ---- text forms ---------------------------------------------------------------
@@ -626,15 +576,9 @@ def cache_names(spark: SparkSession, d: str) -> DataFrame:
     return nodes(spark, d).select("osmid", osm.cache_key(F.concat(F.lit("node/"), F.col("osmid").cast("string"))).alias("cache_name"))
 
 
-@query("""SELECT area_id, array_to_string(list_transform(polygons[1][1], lambda p: format('{:.6f} {:.6f}', p.y, p.x)), ' ') AS place FROM areas""")
-def polygon_texts(spark: SparkSession, d: str) -> DataFrame:
-    ring = F.element_at(F.element_at("polygons", 1), 1)
-    return table(spark, d, "areas").select("area_id", osm.polygon_text(ring).alias("place"))
-
-
 @query("""SELECT area_id, part::INTEGER part, array_to_string(list_transform(rings[1], lambda p: format('{:.6f} {:.6f}', p.y, p.x)), ' ') AS place
     FROM (SELECT area_id, unnest(polygons) rings, unnest(range(1, len(polygons) + 1)) part FROM areas)""")
-def polygon_part_texts(spark: SparkSession, d: str) -> DataFrame:
+def polygon_texts(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "areas").select("area_id", F.posexplode("polygons").alias("pos", "rings"))
     return parts.select("area_id", (F.col("pos") + 1).alias("part"), osm.polygon_text(F.element_at("rings", 1)).alias("place"))
 

@@ -32,7 +32,7 @@ def test_scalars(spark):
 def test_own_zone(spark, tmp_path):
     spots = {1: (3.0, 0.0), 2: (-179.5, 10.0), 3: (180.0, 45.0), 4: (100.0, -33.0), 5: (6.0, 50.0), 6: (20.0, 85.0), 7: (20.0, -81.0)}
     d = write_graph(spark, tmp_path, [(i, *p) for i, p in spots.items()], [(1, 2, 0, 1.0, None)])
-    got = {r.osmid: r for r in network.utm_project_all(spark, d).collect()}
+    got = {r.osmid: r for r in network.utm_project(spark, d).collect()}
     assert {i: r.epsg for i, r in got.items()} == {1: 32631, 2: 32601, 3: 32660, 4: 32747, 5: 32632, 6: None, 7: None}
     assert (got[1].x, got[1].y) == pytest.approx((500000, 0)) and got[6].x is None and got[7].y is None
     for i in (2, 3, 4, 5):
@@ -212,17 +212,17 @@ def write_graph(spark, folder, nodes, edges):
 
 def test_every_node_gets_its_answer(spark, tmp_path):
     d = write_graph(spark, tmp_path, [(i, 0.001 * i, 0.0) for i in range(1, 6)], [(1, 2, 0, 1.0, None), (1, 3, 0, 5.0, None), (1, 4, 0, 1.0, None), (2, 3, 0, 1.0, None)])
-    assert {tuple(r) for r in network.shortest_path_all(spark, d).collect()} == {(1, 0.0), (2, 1.0), (3, 2.0), (4, 1.0), (5, None)}
-    assert {tuple(r) for r in network.route_edges_all(spark, d).collect()} == {(2, 1.0), (3, 2.0), (4, 1.0)}
+    assert {tuple(r) for r in network.shortest_path(spark, d).collect()} == {(1, 0.0), (2, 1.0), (3, 2.0), (4, 1.0), (5, None)}
+    assert {tuple(r) for r in network.route_edges(spark, d).collect()} == {(2, 1.0, True), (3, 2.0, True), (4, 1.0, True)}
     got = {(r.route_id, r["rank"]): (r.cost, r.n_nodes) for r in network.k_shortest_paths(spark, d).collect()}
     assert got == {(1, 1): (0.0, 1), (2, 1): (1.0, 2), (3, 1): (2.0, 3), (3, 2): (5.0, 2), (4, 1): (1.0, 2), (5, 1): (None, got[5, 1][1])}
-    assert {r.point_id for r in network.nearest_nodes_all(spark, d).collect()} == {1, 2, 3, 4, 5}
+    assert {r.point_id for r in network.nearest_nodes(spark, d).collect()} == {1, 2, 3, 4, 5}
 
 
 def test_bent_edges(spark, tmp_path):
     # the edge runs over (0.02, 0.03), past the third node; its ends' straight line is far from there
     d = write_graph(spark, tmp_path, [(1, 0.0, 0.0), (2, 0.04, 0.0), (3, 0.0193, 0.0304)], [(1, 2, 0, 1.0, "LINESTRING (0 0, 0.02 0.03, 0.04 0)"), (2, 1, 0, 1.0, None)])
-    got = {r.point_id: r.dist for r in network.nearest_edge_lines(spark, d).collect()}
+    got = {r.point_id: r.dist for r in network.nearest_edges(spark, d).collect()}
 
     def away(x, y, line):
         at = [(ax + (bx - ax) * k / 5000, ay + (by - ay) * k / 5000) for (ax, ay), (bx, by) in zip(line, line[1:]) for k in range(5001)]
@@ -230,7 +230,7 @@ def test_bent_edges(spark, tmp_path):
 
     for i, x, y in [(1, 0.0007, -0.0004), (2, 0.0407, -0.0004), (3, 0.02, 0.03)]:
         assert got[i] == pytest.approx(min(away(x, y, [(0, 0), (0.02, 0.03), (0.04, 0)]), away(x, y, [(0, 0), (0.04, 0)])), abs=1e-6)
-    assert {(r.u, r.v): r.n_points for r in network.interpolate_lines(spark, d).collect()} == {(1, 2): 8, (2, 1): 5}
+    assert {(r.u, r.v): r.n_points for r in network.interpolate_points(spark, d).collect()} == {(1, 2): 8, (2, 1): 5}
 
 
 def test_nearest(spark):
@@ -244,7 +244,7 @@ def test_text_of_every_part(spark, tmp_path):
     box = lambda a, b: [{"x": float(x), "y": float(y)} for x, y in ((a, a), (b, a), (b, b), (a, a))]
     rows = spark.createDataFrame([(1, [[box(0, 9), box(1, 2)], [box(20, 21)]]), (2, [[box(3, 4)]])], "area_id int, polygons array<array<array<struct<x:double,y:double>>>>")
     rows.write.parquet(f"{tmp_path}/areas.parquet")
-    got = {(r.area_id, r.part): r.place for r in network.polygon_part_texts(spark, str(tmp_path)).collect()}
+    got = {(r.area_id, r.part): r.place for r in network.polygon_texts(spark, str(tmp_path)).collect()}
     assert set(got) == {(1, 1), (1, 2), (2, 1)} and got[1, 2].startswith("20.000000 20.000000 20.000000 21.000000 ") and "2.000000 2.000000" not in got[1, 1]
 
 
