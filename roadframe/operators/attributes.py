@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadframe.functions.geo import bearing, project, project_utm, utm_zone
 from roadframe.functions.maxspeed import clean_maxspeed
 from roadframe.model import StreetGraph, ValidationError
 from roadframe.operators.build import with_endpoints
-from roadframe.session import broadcast_if_small
+from roadframe.session import broadcast_if_small, materialize
 
 
 def add_bearings(graph: StreetGraph) -> DataFrame:
@@ -68,9 +69,7 @@ def elevation_batches(nodes: DataFrame, size: int = 512) -> DataFrame:
 
     Nodes are dealt to hashed groups first and numbered inside each, so no task numbers all nodes.
     """
-    from pyspark.sql import Window
-
-    groups = 64
+    groups = max(64, nodes.count() // 1_000_000)
     spread = nodes.select("osmid", F.format_string("%.6f,%.6f", F.col("y"), F.col("x")).alias("place"), F.pmod(F.col("osmid"), F.lit(groups)).alias("g"))
     number = F.row_number().over(Window.partitionBy("g").orderBy("osmid")) - 1
     rows = spread.withColumn("b", F.floor(number / size))
@@ -114,12 +113,31 @@ def scaled_values(rows: DataFrame, column: str, start: float = 0.0, stop: float
     return rows.join(F.broadcast(ends), F.lit(True)).withColumn("position", share * (stop - start) + start).drop("_lo", "_hi")
 
 
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Quantiles with linear interpolation, all null without values: rows are sorted by range, and only the ranges that hold a wanted rank are numbered."""
+    values = rows.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    placed = materialize(values.repartitionByRange("x").sortWithinPartitions("x").withColumn("p", F.spark_partition_id()), "sorted")
+    sizes = sorted((r["p"], r["n"]) for r in placed.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per range
+    total = sum(n for _, n in sizes)
+    if not total:
+        return [None for _ in shares]
+    wanted = sorted({k for s in shares for k in (math.floor((total - 1) * s), math.ceil((total - 1) * s))})
+    spots, before = {}, 0
+    for p, n in sizes:
+        spots.update({(p, k - before): k for k in wanted if before <= k < before + n})
+        before += n
+    number = F.row_number().over(Window.partitionBy("p").orderBy("x")) - 1
+    ranked = placed.where(F.col("p").isin(sorted({p for p, _ in spots}))).withColumn("i", number)
+    hits = {spots[r["p"], r["i"]]: r["x"] for r in ranked.where(F.struct("p", "i").isin([F.struct(F.lit(p), F.lit(i)) for p, i in spots])).collect()}  # two per share
+    return [hits[math.floor((total - 1) * s)] + (hits[math.ceil((total - 1) * s)] - hits[math.floor((total - 1) * s)]) * ((total - 1) * s % 1) for s in shares]
+
+
 def binned_values(rows: DataFrame, column: str, bins: int, equal_size: bool = False) -> DataFrame:
     """Add ``bin`` from 0: equal widths of the range, or equal shares of the rows (equal values always share a bin)."""
     if equal_size:
-        edges = rows.agg(*[F.percentile(column, k / bins).alias(f"_q{k}") for k in range(1, bins)])
-        place = sum((F.when(F.col(column) > F.col(f"_q{k}"), 1).otherwise(0) for k in range(1, bins)), F.lit(0))
-        drop = [f"_q{k}" for k in range(1, bins)]
+        cuts = exact_quantiles(rows, column, [k / bins for k in range(1, bins)])
+        place = sum((F.when(F.col(column) > F.lit(q), 1).otherwise(0) for q in cuts), F.lit(0))
+        return rows.withColumn("bin", F.when(F.col(column).isNotNull(), place))
     else:
         edges = rows.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
         width = (F.col("_hi") - F.col("_lo")) / bins

@@ -14,9 +14,10 @@ from roadframe.model import StreetGraph
 from roadframe.session import materialize
 
 #: Edges that one task's routing index may hold (about 40 bytes each); larger graphs use the relaxation rounds.
-MAX_INDEX_EDGES = 20_000_000
-#: Edges up to which strong components are found in one task (16 bytes each).
-MAX_TASK_EDGES = 2_000_000
+MAX_INDEX_EDGES = 5_000_000
+#: Edges of a weakly connected piece up to which one task finds its strong components, and edges of all pieces that share a task.
+PIECE_EDGES = 100_000
+TASK_EDGES = 200_000
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -65,15 +66,33 @@ def largest_component(graph: StreetGraph, strongly: bool = False) -> StreetGraph
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(osmid, component)`` of strongly connected components, by forward colouring and backward confirmation.
+    """``(osmid, component)``: the smallest id of each node's strongly connected component.
+
+    A strong component lies within one weakly connected piece. Pieces of at most ``PIECE_EDGES`` edges are dealt to
+    tasks of about ``TASK_EDGES``; larger ones go through rounds of forward colouring and backward confirmation.
+    """
+    ids = nodes.select("osmid").distinct()
+    links = materialize(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").distinct(), "links")
+    pieces = weak_components(ids, links)
+    tagged = materialize(links.join(pieces.withColumnRenamed("osmid", "u"), "u").select("u", "v", F.col("component").alias("piece")), "pieces")
+    sizes = materialize(tagged.groupBy("piece").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    small = sizes.where(F.col("n") <= PIECE_EDGES)
+    total = small.agg(F.sum("n")).first()[0] or 0
+    dealt = tagged.join(small, "piece", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(total // TASK_EDGES + 1)))
+    found = dealt.select("bucket", "u", "v").groupBy("bucket").applyInPandas(_strong_in_task, "osmid bigint, component bigint")
+    large = tagged.join(small, "piece", "left_anti").select("u", "v")
+    if not large.isEmpty():
+        large = materialize(large, "links")
+        found = found.unionByName(_strong_by_rounds(large.select(F.explode(F.array("u", "v")).alias("osmid")).distinct(), large))
+    return ids.join(found, "osmid", "left").select("osmid", F.coalesce("component", "osmid").alias("component"))
+
+
+def _strong_by_rounds(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Strong components by forward colouring and backward confirmation.
 
     A round gives each open node the smallest id that reaches it; the nodes of one
     colour that reach back to their root form a component and leave the graph.
     """
-    links = materialize(edges.where("u <> v").select("u", "v").distinct(), "links")
-    if links.count() <= MAX_TASK_EDGES:  # many small components make many rounds: up to a checked size one task is faster
-        found = links.coalesce(1).mapInPandas(_strong_in_task, "osmid bigint, component bigint")
-        return nodes.select("osmid").distinct().join(found, "osmid", "left").select("osmid", F.coalesce("component", "osmid").alias("component"))
     open_nodes = materialize(nodes.select("osmid").distinct(), "open")
     done: list[DataFrame] = []
     while not open_nodes.isEmpty():
@@ -115,12 +134,9 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(least, "component").select("osmid", F.col("m").alias("component"))
 
 
-def _strong_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Strong components of a whole (checked, small) edge list by two depth-first passes without recursion."""
-    frames = list(batches)
-    if not frames:
-        return
-    pairs = pd.concat(frames).to_numpy()
+def _strong_in_task(frame: pd.DataFrame) -> pd.DataFrame:
+    """Strong components of a bounded edge list by two depth-first passes without recursion."""
+    pairs = frame[["u", "v"]].to_numpy()
     ids = np.unique(pairs)
     a, b = np.searchsorted(ids, pairs[:, 0]), np.searchsorted(ids, pairs[:, 1])
 
@@ -161,7 +177,7 @@ def _strong_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     label[y] = root
                     stack.append(y)
         label[members] = min(members)
-    yield pd.DataFrame({"osmid": ids, "component": ids[label]})
+    return pd.DataFrame({"osmid": ids, "component": ids[label]})
 
 
 def _inside(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -346,13 +362,16 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, weight: str = "length", k
     """``(route_id, orig, dest, rank, cost, nodes)`` for rows ``(route_id, orig, dest)``; no route: one row with null nodes.
 
     The graph, one edge per pair of nodes, is sent to the tasks only after its
-    size was checked; beyond ``MAX_INDEX_EDGES`` the distances come from relaxation
-    rounds per origin (``distances_from``), and this raises.
+    size was checked. Beyond ``MAX_INDEX_EDGES`` the routes come from relaxation
+    rounds over all origins at once (``routes_by_rounds``), which give the best
+    route only: more than one per pair then raises.
     """
     cost = F.coalesce(F.col(weight).cast("double"), F.lit(1.0))
     least = materialize(edges.where("u <> v").groupBy("u", "v").agg(F.min(cost).alias("w")), "links")
     if least.count() > MAX_INDEX_EDGES:
-        raise ValueError("the graph is too large for per-task searches; use distances_from")
+        if k > 1:
+            raise ValueError("the graph is too large for searches inside tasks: only the best route can be found")
+        return routes_by_rounds(pairs, least)
     table = least.toArrow()
     shared = edges.sparkSession.sparkContext.broadcast([table[c].to_numpy() for c in ("u", "v", "w")])
 
@@ -381,3 +400,41 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, weight: str = "length", k
 
     spread = pairs.select("route_id", "orig", "dest").repartition(2 * edges.sparkSession.sparkContext.defaultParallelism)
     return spread.mapInPandas(run, "route_id bigint, orig bigint, dest bigint, rank int, cost double, nodes array<bigint>")
+
+
+def routes_by_rounds(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """What ``shortest_paths`` gives for k = 1, on links ``(u, v, w)`` of any size.
+
+    All origins relax together, only nodes whose distance fell send on, and each keeps the node before it (among equal
+    costs the smallest). Routes are then walked back from their destinations, one step of all routes a round.
+    """
+    asked = materialize(pairs.select("route_id", "orig", "dest"), "asked")
+    known_ids = links.select(F.explode(F.array("u", "v")).alias("osmid")).distinct()
+    origins = asked.select(F.col("orig").alias("osmid")).where("osmid IS NOT NULL").distinct().join(known_ids, "osmid", "left_semi")
+    known = materialize(origins.select(F.col("osmid").alias("orig"), "osmid", F.lit(0.0).alias("dist"), F.lit(None).cast("bigint").alias("before")), "tree")
+    front = known
+    while not front.isEmpty():
+        reach = links.join(front.select("orig", F.col("osmid").alias("u"), "dist"), "u").select("orig", F.col("v").alias("osmid"), (F.col("dist") + F.col("w")).alias("d"), F.col("u").alias("b"))
+        best = reach.groupBy("orig", "osmid").agg(F.min(F.struct("d", "b")).alias("r")).select("orig", "osmid", "r.d", "r.b")
+        fell = F.col("dist").isNull() | (F.col("d") < F.col("dist"))
+        both = known.join(best, ["orig", "osmid"], "full")
+        both = materialize(both.select("orig", "osmid", F.when(F.col("d").isNotNull() & fell, F.col("d")).otherwise(F.col("dist")).alias("dist"),
+                                       F.when(F.col("d").isNotNull() & fell, F.col("b")).otherwise(F.col("before")).alias("before"), (F.col("d").isNotNull() & fell).alias("fell")), "tree")
+        known, front = both.drop("fell"), both.where("fell").select("orig", "osmid", "dist")
+    done = asked.join(known.select("orig", F.col("osmid").alias("dest"), "dist", "before"), ["orig", "dest"], "left")
+    done = materialize(done.select("route_id", "orig", "dest", F.col("dist").alias("cost"), "before"), "routes")
+    walk = done.where("cost IS NOT NULL").select("route_id", "orig", F.col("dest").alias("node"), F.lit(0).alias("back"), "before")
+    steps = [walk.select("route_id", "orig", "node", "back")]
+    at = walk.where("before IS NOT NULL")
+    tree = known.select("orig", F.col("osmid").alias("node"), F.col("before").alias("next"))
+    while not at.isEmpty():
+        at = materialize(at.select("route_id", "orig", F.col("before").alias("node"), (F.col("back") + 1).alias("back")).join(tree, ["orig", "node"]).select(
+            "route_id", "orig", "node", "back", F.col("next").alias("before")), "walk")
+        steps.append(at.select("route_id", "orig", "node", "back"))
+        at = at.where("before IS NOT NULL")
+    every = steps[0]
+    for part in steps[1:]:
+        every = every.unionByName(part)
+    lists = every.groupBy("route_id", "orig").agg(F.sort_array(F.collect_list(F.struct("back", "node")), asc=False).alias("p"))  # one route's nodes
+    out = done.join(lists, ["route_id", "orig"], "left")
+    return out.select("route_id", "orig", "dest", F.lit(1).alias("rank"), "cost", F.transform("p", lambda s: s["node"]).alias("nodes"))

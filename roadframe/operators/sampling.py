@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
+#: Edges per bucket that are aimed at beyond that.
+BUCKET_EDGES = 100_000
 
 
 def sample_points(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -16,9 +18,11 @@ def sample_points(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """
     from roadframe.functions.geo import euclidean
 
-    rows = edges.where("length > 0 AND size(geometry) >= 2").withColumn("b", F.pmod(F.xxhash64("u", "v", "key"), F.lit(BUCKETS)).cast("int"))
+    usable = edges.where("length > 0 AND size(geometry) >= 2")
+    buckets = max(BUCKETS, usable.count() // BUCKET_EDGES)
+    rows = usable.withColumn("b", F.pmod(F.xxhash64("u", "v", "key"), F.lit(buckets)).cast("int"))
     sums = rows.groupBy("b").agg(F.sum("length").alias("s"))
-    running = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
+    running = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     ends = sums.withColumn("lo", F.coalesce(F.sum("s").over(running), F.lit(0.0)))
     total = sums.agg(F.sum("s").alias("total"))
     draws = edges.sparkSession.range(n).select(F.col("id").alias("sample"), F.rand(seed).alias("r"), F.rand(seed + 1).alias("along"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from roadframe.operators import build, entry, features
 from roadframe.plans.base import CURRENT_SQL, haversine
-from roadframe.session import shared_dir
+from roadframe.session import run_dir
 from roadframe.sources.tables import current_elements, table
 from roadframe.streaming.snap import windowed_counts
 
@@ -124,7 +124,7 @@ def relation_geometry(spark: SparkSession, d: str) -> DataFrame:
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """The event file as a stream in one available-now run; the complete table is kept in the shared folder."""
     static = table(spark, d, "events")
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     reader = spark.readStream.schema(static.schema)
     if os.path.isfile(f"{d}/events.parquet"):  # a stream reads folders: pick the one file out of its folder
         source = reader.option("pathGlobFilter", "events.parquet").parquet(d)

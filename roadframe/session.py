@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +28,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_RUNS: dict[str, str] = {}
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This session's own folder inside the shared one; holds all its intermediates."""
+    key = spark.sparkContext.applicationId
+    if key not in _RUNS:
+        _RUNS[key] = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+        atexit.register(_remove_local, _RUNS[key])
+    return _RUNS[key]
+
+
+def _remove_local(path: str) -> None:
+    plain = path.removeprefix("file://").removeprefix("file:")
+    if os.path.isdir(plain):
+        shutil.rmtree(plain, ignore_errors=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediates of this session from the shared folder; results that still read them must be written first.
+
+    A folder on a mounted disk is also deleted when the driver's process ends.
+    """
+    path = _RUNS.pop(spark.sparkContext.applicationId, None)
+    if path is not None:
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -33,7 +66,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     either side.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,8 +79,3 @@ def row_bound(df: DataFrame, limit: int) -> bool:
 def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """Mark ``df`` for broadcast only after its row count was checked; otherwise leave the join to shuffle."""
     return F.broadcast(df) if row_bound(df, limit) else df
-
-
-def type_code(column: Column) -> Column:
-    """Small integer for an element type, so that (type, id) packs into fixed-width keys."""
-    return F.when(column == "node", 0).when(column == "way", 1).when(column == "relation", 2).otherwise(3)

@@ -181,14 +181,77 @@ def test_paths(spark):
     assert {tuple(r) for r in paths.weak_components(nodes, edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
     loop = edges.unionByName(spark.createDataFrame([(3, 1, 0, 9, "a", 1.0, None)], EDGES))
     assert {tuple(r) for r in paths.strong_components(nodes, loop).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
-    paths.MAX_TASK_EDGES, keep = 0, paths.MAX_TASK_EDGES
-    try:
-        assert {tuple(r) for r in paths.strong_components(nodes, loop).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
-    finally:
-        paths.MAX_TASK_EDGES = keep
     assert {(r.u, r.v, r.key) for r in convert.to_digraph(edges).collect()} == {(1, 2, 0), (2, 3, 0), (1, 3, 1), (4, 4, 0)}
 
 
+def test_strong_components_in_tasks_and_by_rounds(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(110)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)] + [(200, 201), (300, 300)]
+    edges = spark.createDataFrame(pairs, "u bigint, v bigint")
+    nodes = spark.createDataFrame([(i,) for i in {x for p in pairs for x in p} | {400}], "osmid bigint")
+    after = {}
+    for u, v in pairs:
+        after.setdefault(u, set()).add(v)
+
+    def reach(x):
+        seen, stack = {x}, [x]
+        while stack:
+            for y in after.get(stack.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    stack.append(y)
+        return seen
+
+    far = {r.osmid: reach(r.osmid) for r in nodes.collect()}
+    want = {x: min(y for y in far[x] if x in far[y]) for x in far}
+    assert {r.osmid: r.component for r in paths.strong_components(nodes, edges).collect()} == want
+    monkeypatch.setattr(paths, "PIECE_EDGES", 20)  # the random piece goes through the rounds, the ring stays in a task
+    monkeypatch.setattr(paths, "TASK_EDGES", 5)
+    assert {r.osmid: r.component for r in paths.strong_components(nodes, edges).collect()} == want
+    assert paths.strong_components(nodes.limit(0), edges.limit(0)).count() == 0
+
+
+def test_routes_beyond_the_index(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 25), rng.randint(0, 25), 0, i, "a", rng.random() + 0.1, None) for i in range(70)]
+    edges = spark.createDataFrame(rows, EDGES)
+    pairs = spark.createDataFrame([(i, i % 4, rng.randint(0, 30)) for i in range(40)] + [(50, None, 1), (51, 1, None), (52, 99, 1)], "route_id bigint, orig bigint, dest bigint")
+    want = {r.route_id: (r.cost, r.nodes) for r in paths.shortest_paths(pairs, edges).collect()}
+    monkeypatch.setattr(paths, "MAX_INDEX_EDGES", 0)
+    got = {r.route_id: (r.cost, r.nodes) for r in paths.shortest_paths(pairs, edges).collect()}
+    assert set(got) == set(want)
+    for route, (cost, path) in want.items():
+        assert got[route] == (cost if cost is None else pytest.approx(cost), path)
+    with pytest.raises(ValueError):
+        paths.shortest_paths(pairs, edges, k=2)
+
+
+def test_exact_quantiles(spark):
+    from roadframe.operators.attributes import exact_quantiles
+
+    rows = spark.range(0, 1001).selectExpr("CASE WHEN id % 3 = 0 THEN 5.0 ELSE CAST(id AS double) END AS v", "id")
+    values = sorted(5.0 if i % 3 == 0 else float(i) for i in range(1001))
+    want = [values[int(1000 * s)] + (values[min(int(1000 * s) + 1, 1000)] - values[int(1000 * s)]) * (1000 * s % 1) for s in (0.1, 0.25, 0.5, 0.9995)]
+    assert exact_quantiles(rows, "v", [0.1, 0.25, 0.5, 0.9995]) == pytest.approx(want)
+    assert exact_quantiles(rows.limit(0), "v", [0.5]) == [None]
+
+
+def test_intermediates_can_be_released(spark):
+    import os
+
+    from roadframe.session import materialize, release, run_dir
+
+    kept = materialize(spark.range(5), "x")
+    place = run_dir(spark)
+    assert kept.count() == 5 and os.path.isdir(place)
+    release(spark)
+    assert not os.path.exists(place) and materialize(spark.range(3), "x").count() == 3
+
+
 def test_paths_from_one_tree():
     import numpy as np
 
