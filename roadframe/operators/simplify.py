@@ -123,7 +123,9 @@ def simplify_graph(graph: StreetGraph, node_attrs: Iterable[str] = (), edge_attr
     number = F.row_number().over(Window.partitionBy("u", "v").orderBy("chain.v", "chain.key")) - 1
     edges = out.withColumn("u", F.col("chain.u")).withColumn("v", F.element_at("_p", -1)["v"]).withColumn("key", number.cast("int"))
     edges = edges.select("u", "v", "key", *rest, "geometry", *(["merged_edges"] if track_merged else []))
-    nodes = graph.nodes.join(ends.where("is_endpoint").select("osmid"), "osmid", "left_semi")
+    # a walk that finds no way on ends where it stops, so that node stays too
+    stops = ends.where("is_endpoint").select("osmid").unionByName(edges.select(F.col("v").alias("osmid"))).distinct()
+    nodes = graph.nodes.join(stops, "osmid", "left_semi")
     if not remove_rings:  # keep components without any endpoint as they were
         labels = weak_components(graph.nodes, graph.edges)
         ringed = materialize(labels.join(ends, "osmid").groupBy("component").agg(F.bool_or("is_endpoint").alias("e")).where("NOT e"), "rings")

@@ -469,7 +469,8 @@ def largest_component(spark: SparkSession, d: str) -> DataFrame:
     return paths.largest_component(graph(spark, d)).nodes.select("osmid")
 
 
-@query()
+@query("WITH RECURSIVE " + GRAPH_SQL + """, r(a, b) AS (SELECT osmid, osmid FROM gn UNION SELECT r.a, ge.v FROM r JOIN ge ON ge.u = r.b)
+    SELECT x.a osmid, min(x.b) component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a""")
 def strong_components(spark: SparkSession, d: str) -> DataFrame:
     return paths.strong_components(nodes(spark, d), edges(spark, d))
 
@@ -531,7 +532,17 @@ def endpoints(spark: SparkSession, d: str) -> DataFrame:
     return simplify.endpoints(nodes(spark, d), edges(spark, d))
 
 
-@query()
+@query("WITH RECURSIVE " + GRAPH_SQL + """, inc AS (SELECT u o, v x, 1 f, 0 b FROM ge UNION ALL SELECT v, u, 0, 1 FROM ge),
+    s AS (SELECT o, count(DISTINCT x) n, sum(f) f, sum(b) b, bool_or(o = x) loop FROM inc GROUP BY o),
+    ep AS (SELECT osmid, coalesce(loop OR f = 0 OR b = 0 OR NOT (n = 2 AND f + b IN (2, 4)), true) e FROM gn LEFT JOIN s ON o = osmid),
+    fi AS (SELECT u, v, min(key) key FROM ge GROUP BY u, v),
+    w AS (SELECT g.u u0, g.v v1, g.key k, g.u prev, g.v cur, [g.length] ls, [g.osmid] ways FROM ge g JOIN ep a ON a.osmid = g.u AND a.e JOIN ep b ON b.osmid = g.v LEFT JOIN fi ON fi.u = g.u AND fi.v = g.v AND fi.key = g.key
+        WHERE b.e OR fi.key IS NOT NULL
+      UNION ALL SELECT u0, v1, k, w.cur, n.v, list_append(ls, n.length), list_append(ways, n.osmid) FROM w JOIN ep ON ep.osmid = w.cur AND NOT ep.e JOIN ge n ON n.u = w.cur
+        JOIN fi ON fi.u = n.u AND fi.v = n.v AND fi.key = n.key WHERE n.v <> w.prev)
+    SELECT u0 u, cur v, (row_number() OVER (PARTITION BY u0, cur ORDER BY v1, k) - 1)::INTEGER key, round(list_sum(ls), 3) length, len(list_distinct(ways))::INTEGER n_ways,
+      CASE WHEN len(ls) > 1 THEN len(ls)::INTEGER + 1 END n_points FROM w JOIN ep ON ep.osmid = cur
+      WHERE ep.e OR NOT EXISTS (SELECT 1 FROM fi WHERE fi.u = w.cur AND fi.v <> w.prev)""")
 def simplify_graph(spark: SparkSession, d: str) -> DataFrame:
     return simplify.simplify_graph(graph(spark, d)).edges.select("u", "v", "key", F.round("length", 3).alias("length"), F.size("osmid").alias("n_ways"), F.size("geometry").alias("n_points"))
 

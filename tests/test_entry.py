@@ -122,3 +122,45 @@ def test_polygon_tests_agree_with_plain_ones(spark):
         assert got[i] == (want, want or min(away(px, py, p) for p in parts) <= 50_000.0)
     border = spark.createDataFrame([(1.5, 1.0), (9.0, 0.5), (1.5, 1.5)], "x double, y double")
     assert [r[0] for r in border.select(geo.inside_parts(x, y, parts)).collect()] == [True, True, False]
+
+
+def test_files_round_trip(spark, tmp_path):
+    import glob
+    import sqlite3
+    import xml.etree.ElementTree as ET
+
+    whole = entry.graph_from_bbox(town(spark), BOX, simplified=False, retain_all=True)
+    osm.write_osm_xml(whole, f"{tmp_path}/xml", way_tag_aggs={"highway": F.max})
+    text = "".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/xml/*/part-*")))
+    tree = ET.fromstring(text)
+    assert {w.get("id"): [n.get("ref") for n in w.findall("nd")] for w in tree.findall("way")} == {"100": ["1", "2", "3", "4"], "101": ["3", "7"], "102": ["8", "9"]}
+    again = osm.read_osm_xml(spark, f"{tmp_path}/xml/*")
+    assert {r.id: r.tags for r in again.where("type = 'way'").collect()} == {100: {"highway": "residential"}, 101: {"highway": "service"}, 102: {"highway": "residential"}}
+    with pytest.raises(ValueError):
+        osm.write_osm_xml(entry.graph_from_bbox(town(spark), BOX), f"{tmp_path}/no")
+
+    made = entry.graph_from_bbox(town(spark), BOX)
+    osm.write_graphml_parts(made, f"{tmp_path}/parts", sequential_ids=True)
+    osm.write_graphml(made, f"{tmp_path}/one.graphml")
+    for path in (f"{tmp_path}/parts/*", f"{tmp_path}/one.graphml"):
+        back = osm.read_graphml(spark, path)
+        assert back.attrs["crs"] == 4326 and back.attrs["simplified"] is True
+        assert {(r.osmid, r.x, r.y, r.street_count) for r in back.nodes.collect()} == {(r.osmid, r.x, r.y, r.street_count) for r in made.nodes.collect()}
+        rows = {(r.u, r.v): r for r in back.edges.withColumn("ways", osm.list_items(F.col("osmid"))).collect()}
+        assert set(rows) == {(1, 3), (3, 1), (3, 7), (7, 3)} and rows[1, 3].ways == ["100"] and len(rows[1, 3].geometry) == 3 and rows[1, 3].length == pytest.approx(222.39, abs=0.1)
+    ids = ET.fromstring("".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/parts/*/part-*")))).iter("{http://graphml.graphdrawing.org/xmlns}edge")
+    assert sorted(int(e.get("id")) for e in ids) == [0, 1, 2, 3]
+    typed = osm.read_graphml(spark, f"{tmp_path}/one.graphml", edge_types={"length": "string"})
+    assert dict(typed.edges.dtypes)["length"] == "string"
+
+    osm.write_geopackage(made, f"{tmp_path}/town.gpkg")
+    with sqlite3.connect(f"{tmp_path}/town.gpkg") as db:
+        assert [r[0] for r in db.execute("SELECT count(*) FROM nodes UNION ALL SELECT count(*) FROM edges")] == [3, 2]
+        assert db.execute("SELECT geom FROM nodes WHERE osmid = 3").fetchone()[0][:4] == b"GP\x00\x01"
+
+
+def test_json_answers(spark, tmp_path):
+    url = "https://example.org/api?data=x"
+    body = {"elements": [{"type": "node", "id": 1, "lat": 1.0, "lon": 2.0, "tags": {"a": "b"}}]}
+    (tmp_path / osm.cache_name(url)).write_text(json.dumps(body))
+    assert [(r.type, r.id, r.tags) for r in osm.read_cached_answers(spark, str(tmp_path), url).collect()] == [("node", 1, {"a": "b"})]
