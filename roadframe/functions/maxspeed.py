@@ -37,21 +37,28 @@ IMPLICIT_KPH = {
     "UK:nsl_dual": 112.65, "UK:nsl_single": 96.56, "UZ:living_street": 30.0, "UZ:motorway": 110.0, "UZ:rural": 100.0, "UZ:urban": 70.0,
 }
 KPH_PER_MPH = 1.60934  # fixed value
-_PART = r"^([0-9][.,0-9]*?)(?: ?(?:km/h|kmh|kph|mph|knots))?$"
+#: Units that may follow a number, with one blank or none before them.
+_UNITS = ("km/h", "kmh", "kph", "mph", "knots")
 
 
-def clean_maxspeed(text: Column, convert_mph: bool = True) -> Column:
-    """Mean of the parts in km/h; the implied limit of a zone code; null for any other text.
+def _limit(part: Column) -> Column:
+    """The number that a part starts with, a comma read as a point, if nothing but a unit follows; else null."""
+    digits = F.regexp_extract(part, "^[0-9][0-9.,]*", 0)
+    rest = F.substring(part, F.length(digits) + 1, F.length(part))
+    return F.when(rest.isin("", *_UNITS, *[f" {u}" for u in _UNITS]), F.replace(digits, F.lit(","), F.lit(".")).try_cast("double"))
+
+
+def clean_maxspeed(text: Column, convert_mph: bool = True, agg: Callable[[Column], Column] | None = None) -> Column:
+    """Mean (or ``agg`` over the array) of the parts in km/h; the implied limit of a zone code; null for any other text.
 
     "mph" anywhere converts all parts; "knots" is read as it stands.
     """
-    parts = F.split(text, r"\|")
-    values = F.transform(parts, lambda p: F.regexp_replace(F.regexp_extract(p, _PART, 1), ",", ".").try_cast("double"))
+    values = F.transform(F.split(text, r"\|"), _limit)
     good = ~F.exists(values, lambda v: v.isNull())
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
+    one = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values) if agg is None else agg(values)
     factor = F.when(text.contains("mph"), KPH_PER_MPH).otherwise(1.0) if convert_mph else F.lit(1.0)
     implied = F.create_map(*[F.lit(x) for k, v in IMPLICIT_KPH.items() for x in (k, v)])
-    return F.when(good, mean * factor).otherwise(F.try_element_at(implied, text))
+    return F.when(good, one * factor).otherwise(F.try_element_at(implied, text))
 
 
 def collapse_maxspeeds(texts: Column, agg: Callable[[Column], Column] | None = None) -> Column:

@@ -35,10 +35,6 @@ class ResponseStatusCodeError(ValueError):
     """A stored answer carries a failing status."""
 
 
-class CacheOnlyInterruptError(InterruptedError):
-    """Only the raw answers were asked for."""
-
-
 @dataclass(frozen=True)
 class Settings:
     """Options an operator gets passed; executors never see module globals."""
@@ -46,12 +42,8 @@ class Settings:
     all_oneway: bool = False
     bidirectional_network_types: tuple[str, ...] = ("walk",)
     default_access: str = '["access"!~"private"]'
-    default_crs: int = 4326
-    max_query_area_size: float = 50_000.0 * 50_000.0
     requests_timeout: int = 180
     overpass_memory: int | None = None
-    useful_tags_node: tuple[str, ...] = NODE_TAGS
-    useful_tags_way: tuple[str, ...] = WAY_TAGS
 
 
 @dataclass(frozen=True)

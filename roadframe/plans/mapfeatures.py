@@ -13,7 +13,7 @@ from roadframe.operators import build, entry, features
 from roadframe.plans.base import CURRENT_SQL, haversine
 from roadframe.session import run_dir
 from roadframe.sources.tables import current_elements, table
-from roadframe.streaming.snap import windowed_counts
+from roadframe.streaming.snap import latest_rows, start_updates, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,7 +122,7 @@ def relation_geometry(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT n, round(sum(value), 4) total FROM events GROUP BY 1, 2""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    """The event file as a stream in one available-now run; the complete table is kept in the shared folder."""
+    """The event file as a stream in one available-now run; updates are kept in the shared folder."""
     static = table(spark, d, "events")
     place = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     reader = spark.readStream.schema(static.schema)
@@ -130,11 +130,6 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
         source = reader.option("pathGlobFilter", "events.parquet").parquet(d)
     else:
         source = reader.parquet(f"{d}/events.parquet")
-    counts = windowed_counts(source.withColumn("ts", F.col("ts").cast("timestamp")))
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/out")
-
-    run = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{place}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    start_updates(windowed_counts(source.withColumn("ts", F.col("ts").cast("timestamp"))), place).awaitTermination()
+    rows = latest_rows(spark.read.parquet(f"{place}/out/*"), ["start", "event_type"])
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

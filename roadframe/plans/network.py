@@ -180,7 +180,8 @@ def grades(spark: SparkSession, d: str) -> DataFrame:
 
 
 _IMPLICIT = ", ".join(f"('{k}', {v})" for k, v in IMPLICIT_KPH.items())
-_PARTS = ("list_transform(string_split(maxspeed, '|'), lambda p: try_cast(replace(regexp_extract(p, '^([0-9][.,0-9]*?)(?: ?(?:km/h|kmh|kph|mph|knots))?$', 1), ',', '.') AS DOUBLE))")
+_PARTS = ("list_transform(string_split(maxspeed, '|'), lambda p: CASE WHEN substr(p, length(regexp_extract(p, '^[0-9][0-9.,]*')) + 1) IN "
+          "('', 'km/h', 'kmh', 'kph', 'mph', 'knots', ' km/h', ' kmh', ' kph', ' mph', ' knots') THEN try_cast(replace(regexp_extract(p, '^[0-9][0-9.,]*'), ',', '.') AS DOUBLE) END)")
 _CLEAN = f""", implied(code, kph) AS (VALUES {_IMPLICIT}),
 clean AS (SELECT ge.*, CASE WHEN len(list_filter({_PARTS}, lambda v: v IS NULL)) = 0 THEN list_avg({_PARTS}) * CASE WHEN contains(maxspeed, 'mph') THEN 1.60934 ELSE 1.0 END
    ELSE kph END stated FROM ge LEFT JOIN implied ON code = maxspeed)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
 import shutil
 import tempfile
@@ -67,6 +68,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    logging.getLogger("roadframe").debug("writing %s", path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

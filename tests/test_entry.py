@@ -164,3 +164,50 @@ def test_json_answers(spark, tmp_path):
     body = {"elements": [{"type": "node", "id": 1, "lat": 1.0, "lon": 2.0, "tags": {"a": "b"}}]}
     (tmp_path / osm.cache_name(url)).write_text(json.dumps(body))
     assert [(r.type, r.id, r.tags) for r in osm.read_cached_answers(spark, str(tmp_path), url).collect()] == [("node", 1, {"a": "b"})]
+
+
+def test_streams(spark, tmp_path):
+    from roadframe.streaming.snap import latest_rows, start_snapping, start_updates, windowed_counts
+
+    def arrive(name, rows):
+        spark.createDataFrame([(datetime(2024, 1, d, h), kind, v) for d, h, kind, v in rows], "ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/in/{name}")
+
+    def run():
+        events = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{tmp_path}/in/*")
+        start_updates(windowed_counts(events), f"{tmp_path}/counts").awaitTermination()
+        return {(r.start.day, r.start.hour, r.event_type): (r.n, r.total) for r in latest_rows(spark.read.parquet(f"{tmp_path}/counts/out/*"), ["start", "event_type"]).collect()}
+
+    arrive("a", [(1, 0, "x", 1.0), (1, 0, "x", 2.0), (5, 0, "y", 1.0)])
+    assert run() == {(1, 0, "x"): (2, 3.0), (5, 0, "y"): (1, 1.0)}
+    arrive("b", [(1, 0, "x", 9.0), (4, 12, "x", 4.0), (5, 0, "y", 2.0)])  # the first is four days late: its window is closed
+    assert run() == {(1, 0, "x"): (2, 3.0), (4, 12, "x"): (1, 4.0), (5, 0, "y"): (2, 3.0)}
+    spark.createDataFrame([(1, 0.1, 0.0), (2, None, 1.0)], "point_id bigint, x double, y double").write.parquet(f"{tmp_path}/places")
+    places = spark.readStream.schema("point_id bigint, x double, y double").parquet(f"{tmp_path}/places")
+    nodes = spark.createDataFrame([(7, 0.0, 0.0), (8, 1.0, 0.0)], "osmid bigint, x double, y double")
+    start_snapping(places, nodes, f"{tmp_path}/snap").awaitTermination()
+    assert {r.point_id: r.osmid for r in spark.read.parquet(f"{tmp_path}/snap/out/*").collect()} == {1: 7, 2: None}
+
+
+def test_validation_ladder(spark):
+    from roadframe.model import StreetGraph, ValidationError
+    from roadframe.operators import convert
+
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0)], "osmid bigint, x double, y double")
+    good = spark.createDataFrame([(1, 2, 0, "a", 1.0)], "u bigint, v bigint, key int, osmid string, length double")
+    convert.require_valid(StreetGraph(nodes, good))
+    for bad in (StreetGraph(nodes, good, {}), StreetGraph(nodes.drop("x"), good), StreetGraph(nodes, good.drop("length")), StreetGraph(nodes, good.withColumn("v", F.lit(9).cast("bigint"))),
+                StreetGraph(nodes.unionByName(nodes), good), StreetGraph(nodes, good.unionByName(good)), StreetGraph(nodes, good.withColumn("length", F.lit(-1.0)))):
+        with pytest.raises(ValidationError):
+            convert.require_valid(bad)
+    convert.require_numeric(good, "length")
+    for column in ("osmid", "missing"):
+        with pytest.raises(ValidationError):
+            convert.require_numeric(good, column)
+    with pytest.raises(ValidationError):
+        convert.require_numeric(good.withColumn("length", F.lit(None).cast("double")), "length")
+
+
+def test_public_names():
+    import roadframe
+
+    assert {"graph_from_place", "features_from_bbox", "simplify_graph", "log"} <= set(roadframe.__all__) and "llm" not in roadframe.__all__
