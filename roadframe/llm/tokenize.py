@@ -8,8 +8,10 @@ length, so megabyte runs without a blank are no special case.
 
 The vocabulary file is read once on the driver, sent to the executors as a
 broadcast of its bytes (about half a megabyte, whatever the corpus), and turned
-into tables once per Python worker. Pre-tokens repeat by Zipf's law, so each
-worker keeps a bounded memo of the short ones.
+into tables once per Python worker. Pre-tokens repeat by Zipf's law and lines by
+revisions and copies, so each worker keeps bounded memos of the short ones. A text
+is cut into lines between a visible character and a line feed, where no pre-token
+can lie across, so a line's ids do not depend on its neighbours.
 
 Defined cases: empty and null texts give an empty list; strings that look like
 special tokens are ordinary text; whole texts are encoded, however long.
@@ -18,6 +20,7 @@ special tokens are ordinary text; whole texts are encoded, however long.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -34,6 +37,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 MEMO_ENTRIES = 400_000
 MEMO_LENGTH = 64
+#: Longest line that is remembered, and characters of lines that a worker remembers in all.
+LINE_LENGTH = 4_000
+LINE_CHARACTERS = 16_000_000
+_LINES = re.compile(r"(?<=\S)(?=\n)")
 
 
 class RankQueue:
@@ -86,7 +93,9 @@ class BytePairEncoder:
         self.single = [self.ranks.get(bytes([b])) for b in range(256)]
         self.pairs: dict[int, int] = {}
         self.split = regex.compile(PATTERN)
-        self.memo: dict[str, array] = {}
+        self.memo: dict[str, bytes] = {}
+        self.lines: dict[str, bytes] = {}
+        self.remembered = 0
 
     def _pair_rank(self, left: int, right: int) -> int:
         """Rank of the token that two neighbours merge to, or -1; remembered per pair."""
@@ -136,19 +145,40 @@ class BytePairEncoder:
                     break
         return array("i", [t for t in ids if t >= 0])
 
-    def encode(self, text: str) -> array:
-        out, memo = array("i"), self.memo
-        for piece in self.split.findall(text):
-            known = memo.get(piece)
-            if known is None:
-                known = self.merge(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) <= MEMO_LENGTH:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                    memo[piece] = known
-            out.extend(known)
+    def _line(self, line: str) -> bytes:
+        pieces, memo = self.split.findall(line), self.memo
+        parts = list(map(memo.get, pieces))
+        if None in parts:
+            for i, piece in enumerate(pieces):
+                if parts[i] is None:
+                    found = memo.get(piece)
+                    if found is None:
+                        found = self.merge(piece.encode("utf-8", "surrogatepass")).tobytes()
+                        if len(piece) <= MEMO_LENGTH:
+                            if len(memo) >= MEMO_ENTRIES:
+                                memo.clear()
+                            memo[piece] = found
+                    parts[i] = found
+        out = b"".join(parts)
+        if len(line) <= LINE_LENGTH:
+            if self.remembered > LINE_CHARACTERS:
+                self.lines.clear()
+                self.remembered = 0
+            self.lines[line] = out
+            self.remembered += len(line)
         return out
 
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids as 32-bit integers in a row."""
+        lines = _LINES.split(text)
+        parts = list(map(self.lines.get, lines))
+        if None in parts:
+            parts = [self._line(line) if part is None else part for part, line in zip(parts, lines)]
+        return b"".join(parts)
+
+    def encode(self, text: str) -> array:
+        return array("i", self.encode_bytes(text))
+
 
 _ENCODERS: dict[int, BytePairEncoder] = {}
 
@@ -176,16 +206,15 @@ def _encoded(spark: SparkSession, documents: DataFrame, key: str, text: str, cou
         for batch in batches:
             for start in range(0, max(batch.num_rows, 1), 256):
                 part = batch.slice(start, 256)
-                flat, ends = array("i"), [0]
-                for value in part.column(1):
-                    words = value.as_py()
-                    if words:
-                        flat.extend(encoder.encode(words))
-                    ends.append(len(flat))
+                found, ends = [], [0]
+                for words in part.column(1).to_pylist():
+                    ids = encoder.encode_bytes(words) if words else b""
+                    found.append(ids)
+                    ends.append(ends[-1] + len(ids) // 4)
                 if counts_only:
                     out: pa.Array = pa.array(np.diff(ends), pa.int64())
                 else:
-                    out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+                    out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), out], names=[key, kind.split()[0]])
 
     return documents.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("_text")).mapInArrow(run, f"{key} bigint, {kind}")

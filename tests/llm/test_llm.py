@@ -46,7 +46,8 @@ def test_encoder_equals_public_library(encoder):
     random.seed(5)
     texts = ["", "<|endoftext|>", "a" * 5000, "ab" * 3000 + "the" * 3000, "Ünïcödé 日本語 ру́сский", "  \n\n\t x"] + [
         "".join(random.choice(["a", "the", " ", "é", "́", "0", "\n", "日"]) for _ in range(random.randint(0, 200))) for _ in range(200)]
-    for text in texts:
+    texts += ["".join(random.choice(["a", "b's", " ", "\n", "\r\n", "\t", "\u00a0", "\u2028", "\x85", "\x1c", "1", "=="]) for _ in range(random.randint(0, 60))) for _ in range(600)]
+    for text in [*texts, *texts]:  # the second time from the memos
         assert list(encoder.encode(text)) == reference.encode_ordinary(text)
 
 
