@@ -67,10 +67,30 @@ def route_edges(routes: DataFrame, edges: DataFrame, weight: str = "length") ->
     return legs.join(to_digraph(edges, weight), ["u", "v"]).select("route_id", "pos", "u", "v", "key", weight)
 
 
+def route_lines(routes: DataFrame, graph: StreetGraph, weight: str = "length") -> DataFrame:
+    """``(route_id, line)``: the points that each route runs through, along the lines of its edges."""
+    lines = edge_points(graph).select("u", "v", "key", "geometry")
+    steps = route_edges(routes, graph.edges, weight).join(lines, ["u", "v", "key"]).select("route_id", F.struct("pos", "geometry").alias("s"))
+    ordered = F.transform(F.array_sort(F.collect_list("s")), lambda s, i: F.when(i == 0, s["geometry"]).otherwise(F.slice(s["geometry"], 2, F.greatest(F.size(s["geometry"]) - 1, F.lit(0)))))
+    return steps.groupBy("route_id").agg(F.flatten(ordered).alias("line"))  # one route's edges
+
+
+def validate_features(features: DataFrame) -> DataFrame:
+    """``(rule, violations)`` of a table ``(element, id, tags)``: known elements, ids, unique pairs of both, tags."""
+    rows = features.agg(F.count_if(F.col("element").isNull() | ~F.col("element").isin("node", "way", "relation")).alias("element_unknown"), F.count_if(F.col("id").isNull()).alias("feature_without_id"),
+                        F.count_if(F.coalesce(F.size("tags"), F.lit(0)) < 1).alias("feature_without_tags"))
+    twice = features.groupBy("element", "id").count().where("count > 1").agg(F.count(F.lit(1)).alias("feature_repeated"))
+    return _rules(rows).unionByName(_rules(twice))
+
+
+def _rules(counts: DataFrame) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).cast("bigint").alias("violations")) for c in counts.columns])
+    return counts.select(F.explode(each).alias("_x")).select("_x.*")
+
+
 def validate_graph(graph: StreetGraph) -> DataFrame:
     """``(rule, violations)``: one aggregation over the nodes, one over the edges, one each for uniqueness and references."""
     n, e = graph.nodes, graph.edges
-    unpivot = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).cast("bigint").alias("violations")) for c in df.columns])).alias("_x")).select("_x.*")
     nodes = n.agg(F.count_if(F.col("osmid").isNull()).alias("node_without_id"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("node_without_place"))
     edges = e.agg(F.count_if(F.col("u").isNull() | F.col("v").isNull() | F.col("key").isNull()).alias("edge_without_id"),
                   F.count_if(F.col("length").isNull() | (F.col("length") < 0)).alias("edge_without_length"), F.count_if(F.col("osmid").isNull()).alias("edge_without_way"))
@@ -78,9 +98,9 @@ def validate_graph(graph: StreetGraph) -> DataFrame:
     twice_e = e.groupBy("u", "v", "key").count().where("count > 1").agg(F.count(F.lit(1)).alias("edge_repeated"))
     ends = e.select(F.explode(F.array("u", "v")).alias("osmid")).where("osmid IS NOT NULL").distinct()
     loose = ends.join(n.select("osmid"), "osmid", "left_anti").agg(F.count(F.lit(1)).alias("edge_end_unknown"))
-    out = unpivot(nodes)
+    out = _rules(nodes)
     for part in (edges, twice_n, twice_e, loose):
-        out = out.unionByName(unpivot(part))
+        out = out.unionByName(_rules(part))
     return out
 
 

@@ -558,6 +558,22 @@ def consolidate_intersections(spark: SparkSession, d: str) -> DataFrame:
     return _consolidated(spark, d, False).nodes.select("osmid", F.size("osmid_original").alias("n"), F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
+_TOUCH = "a.osmid <> b.osmid AND abs(a.y - b.y) < 0.001 AND " + haversine("a.y", "a.x", "b.y", "b.x") + " <= 30"
+
+
+@query("WITH RECURSIVE" + _SPN[len("WITH"):] + f""", c AS (SELECT gn.osmid, x, y FROM gn JOIN spn USING (osmid) WHERE street_count > 1),
+    np AS (SELECT a.osmid u, b.osmid v FROM c a JOIN c b ON {_TOUCH}),
+    cl(osmid, g) USING KEY (osmid) AS (SELECT osmid, osmid FROM c UNION
+      SELECT np.v, min(n.g) FROM cl n JOIN np ON np.u = n.osmid JOIN recurring.cl o ON o.osmid = np.v WHERE n.g < o.g GROUP BY np.v),
+    wi AS (SELECT u, v FROM ge JOIN cl a ON a.osmid = u JOIN cl b ON b.osmid = v WHERE a.g = b.g),
+    li AS (SELECT u, v FROM wi UNION SELECT v, u FROM wi),
+    pt(osmid, g) USING KEY (osmid) AS (SELECT osmid, osmid FROM c UNION
+      SELECT li.v, min(n.g) FROM pt n JOIN li ON li.u = n.osmid JOIN recurring.pt o ON o.osmid = li.v WHERE n.g < o.g GROUP BY li.v)
+    SELECT g osmid, count(*)::INTEGER n, max(osmid) last_original FROM pt GROUP BY g""")
+def consolidated_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _consolidated(spark, d, False).nodes.select("osmid", F.size("osmid_original").alias("n"), F.array_max("osmid_original").alias("last_original"))
+
+
 @query()
 def consolidated_edges(spark: SparkSession, d: str) -> DataFrame:
     return _consolidated(spark, d, True).edges.select("u", "v", "key", "u_original", "v_original", "ord", F.round("length", 3).alias("length"), F.size("geometry").alias("n_points"))

@@ -230,6 +230,17 @@ def test_routes_beyond_the_index(spark, monkeypatch):
         paths.shortest_paths(pairs, edges, k=2)
 
 
+def test_route_lines_and_feature_rules(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 2.0, 0.0)], "osmid bigint, x double, y double")
+    edges = spark.createDataFrame([(1, 2, 0, 1, "a", 1.0, None, [(0.0, 0.0), (0.5, 0.5), (1.0, 0.0)]), (2, 3, 0, 2, "a", 1.0, None, None), (2, 3, 1, 3, "a", 0.5, None, [(1.0, 0.0), (1.5, 1.0), (2.0, 0.0)])],
+                                  EDGES + ", geometry array<struct<x:double,y:double>>")
+    routes = spark.createDataFrame([(7, [1, 2, 3]), (8, [2, 3]), (9, None), (10, [1])], "route_id bigint, nodes array<bigint>")
+    got = {r.route_id: [(p.x, p.y) for p in r.line] for r in convert.route_lines(routes, StreetGraph(nodes, edges)).collect()}
+    assert got == {7: [(0.0, 0.0), (0.5, 0.5), (1.0, 0.0), (1.5, 1.0), (2.0, 0.0)], 8: [(1.0, 0.0), (1.5, 1.0), (2.0, 0.0)]}
+    rows = spark.createDataFrame([("node", 1, {"a": "b"}), ("node", 1, {"a": "b"}), ("area", None, {}), (None, 2, None)], "element string, id bigint, tags map<string,string>")
+    assert {r.rule: r.violations for r in convert.validate_features(rows).collect()} == {"element_unknown": 2, "feature_without_id": 1, "feature_without_tags": 2, "feature_repeated": 1}
+
+
 def test_exact_quantiles(spark):
     from roadframe.operators.attributes import exact_quantiles
 
