@@ -32,13 +32,13 @@ def undirected_shape(points: Column) -> Column:
     return F.least(points, F.reverse(points))
 
 
-def to_undirected(graph: StreetGraph, order: str = "ord") -> DataFrame:
+def to_undirected(graph: StreetGraph) -> DataFrame:
     """Streets without their reciprocal twins: ``(u, v, key, from, to, ...)`` with u <= v; ``from`` and ``to`` keep the direction.
 
     Two directions of a pair that share a key are one street when their lines are the same read either way (straight
-    where none is given); otherwise the first of them by ``order`` gets a new key above all keys of the pair. Then, of
+    where none is given); otherwise the first of them gets a new key above all keys of the pair. Then, of
     a pair's streets with one way id (lists compare as sets) and one line, the one with the smallest key stays. Of
-    merged rows the first by ``order`` speaks.
+    merged rows the first speaks. First means by ``ord`` where there is such a column, else by (key, u, v).
     """
     lines = edge_points(graph)
     rest = [c for c in lines.columns if c not in ("u", "v", "key")]
@@ -46,7 +46,7 @@ def to_undirected(graph: StreetGraph, order: str = "ord") -> DataFrame:
     same_way = F.array_sort(F.array_distinct("osmid")) if listed else F.col("osmid")
     rows = lines.withColumn("_a", F.least("u", "v")).withColumn("_b", F.greatest("u", "v")).withColumn("_g", undirected_shape(F.col("geometry")))
     row = F.struct("u", "v", *rest, same_way.alias("_w"), "_g")
-    rank = F.struct(order, "u")
+    rank = F.struct("ord", "u") if "ord" in lines.columns else F.struct("key", "u", "v")
     both = materialize(rows.groupBy("_a", "_b", "key").agg(F.min_by(row, rank).alias("_r"), F.max_by(row, rank).alias("_l"), (F.min("_g") != F.max("_g")).alias("_apart")), "twins")
     twins = both.where("_apart").select("_a", "_b", "key")
     top = rows.groupBy("_a", "_b").agg(F.max("key").alias("_top"))

@@ -284,7 +284,7 @@ def write_geopackage(graph: StreetGraph, path: str, directed: bool = False) -> N
     """
     import sqlite3
 
-    edges = edge_points(graph) if directed else to_undirected(graph.with_(edges=graph.edges if "ord" in graph.edges.columns else graph.edges.withColumn("ord", F.xxhash64("u", "v", "key"))))
+    edges = edge_points(graph) if directed else to_undirected(graph)
     crs = graph.attrs.get("crs", 4326)
     kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL", "boolean": "BOOLEAN"}
     head = b"GP\x00\x01" + struct.pack("<i", int(crs))
@@ -394,6 +394,8 @@ def geocode_places(answers: DataFrame, queries: str | list[str], which_result: i
 def geocode_polygons(answers: DataFrame, queries: str | list[str], which_result: int | None = None) -> list:
     """The polygons of all queries' results; a query without an area raises."""
     wanted = [queries] if isinstance(queries, str) else list(queries)
+    if not wanted:
+        raise InsufficientResponseError("no place was asked for")
     rows = geocode_places(answers, wanted, which_result).select("query", "geom_type", "coordinates").collect()  # one row per query
     found = {r["query"]: r for r in rows}
     parts: list = []
