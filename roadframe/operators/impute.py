@@ -123,8 +123,14 @@ class _Models:
     """Fits each field on the records where it was observed: the closed ones summed once, the open ones anew."""
 
     def __init__(self, closed: DataFrame) -> None:
-        self.closed = {"highway": materialize(_class_counts(closed.where("highway IS NOT NULL")), "counts"),
-                       **{y: materialize(_moments(closed.where(F.col(y).isNotNull()), y), "moments") for y in NUMBERS}}
+        m, k = F.col("_m"), F.col("_k")
+        logs = closed.select("highway", _bins("maxspeed").alias("b1"), _bins("speed_kph").alias("b2"), _log("maxspeed").alias("_m"), _log("speed_kph").alias("_k"))
+        both = F.when(m.isNotNull() & k.isNotNull(), 1)
+        sums = materialize(logs.groupBy("b1", "b2", "highway").agg(
+            F.count(F.lit(1)).alias("c"), F.count(both).alias("n"), *[F.coalesce(F.sum(both * v), F.lit(0.0)).alias(a) for a, v in (("m", m), ("k", k), ("mm", m * m), ("mk", m * k), ("kk", k * k))]), "sums")
+        pair = lambda *names: sums.where("n > 0").select("highway", F.col("n").alias("c"), *[F.col(a).alias(b) for a, b in zip(names, ("sx", "sy", "sxx", "sxy", "syy"))])
+        self.closed = {"highway": sums.where("highway IS NOT NULL").select("b1", "b2", "highway", "c"),
+                       "maxspeed": pair("k", "m", "kk", "mk", "mm"), "speed_kph": pair("m", "k", "mm", "mk", "kk")}
 
     def classify(self, state: DataFrame) -> tuple[DataFrame, dict]:
         """Add ``m_highway``: the group's value, or a draw given the bins of the numbers, backing off to all records."""
